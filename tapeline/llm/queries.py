@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, warc
+from . import exact_dedup, licenses, media, packing, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": licenses.op1_license_scan,
         "op3_warc": warc.op3_warc,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_packing": packing.op7_packing,
+        "op9_simhash": simhash.op9_simhash,
         "op10_media": media.op10_media,
     }
 

@@ -15,7 +15,8 @@ from .common import shared_dir, written
 CHUNK, SEGMENT = 4096, 16384
 #: Payloads with fewer bytes are never written as revisits.
 MIN_REVISIT = 100
-MARK = "\r\n\r\nWARC/1.1\r\n"
+#: A record's first line; no block holds it, since chunks end inside it. No part of it starts it anew, so readers can't lose their place.
+MARK = "WARC/1.1\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -62,9 +63,6 @@ def records(page: str, digest: str, origin: str | None, body: str) -> Iterator[s
         return
     block = HTTP + chunked(body)
     parts = [block[at : at + SEGMENT] for at in range(0, len(block), SEGMENT)]
-    for k in range(1, len(parts)):  # a cut inside a record's first line would not hide it if the pieces were joined by the line's end
-        if parts[k - 1].endswith("\r") and parts[k].startswith("\n"):
-            parts[k - 1], parts[k] = parts[k - 1][:-1], "\r" + parts[k]
     if len(parts) == 1:
         yield _record("response", ident, block, common | {"Content-Type": "application/http;msgtype=response"})
         return
@@ -118,23 +116,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     Only segmented records are shuffled; a group is one record.
     """
     raw = spark.read.option("lineSep", MARK).text(path)
-    value = F.regexp_replace("value", r"^WARC/1\.1\r\n", "")
-    head = F.substring_index("value", "\r\n\r\n", 1)
-    rows = raw.select(value.alias("value")).select(head.alias("head"), "value")
+    raw = raw.filter("value <> ''")  # before the first record of a file
+    raw = raw.select(F.substring_index("value", "\r\n\r\n", 1).alias("head"), F.col("value").cast("binary").alias("raw"))
+    segment = F.lower("head").contains("\r\nwarc-segment-number:")
     field = lambda name: F.nullif(F.regexp_extract("head", rf"(?im)^{name}: *<?([^>\r\n]*)", 1), F.lit(""))
-    rows = rows.select(
-        field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("rid"), field("WARC-Payload-Digest").alias("digest"),
-        field("WARC-Refers-To").alias("refers_to"), field("WARC-Segment-Number").cast("int").alias("number"),
-        field("WARC-Segment-Origin-ID").alias("origin"), field("WARC-Segment-Total-Length").cast("long").alias("total"),
-        field("Content-Length").cast("long").alias("length"), F.expr("substr(value, length(head) + 5)").cast("binary").alias("block"),
-    ).filter("record_type <> 'warcinfo'")
-    size = F.octet_length("block")
-    # the last record of a file keeps the blank lines that end it
-    block = F.when((size == F.col("length") + 4) & (F.expr("right(cast(block as string), 4)") == "\r\n\r\n"), F.expr("substr(block, 1, int(length))")).otherwise(F.col("block"))
-    rows = rows.withColumn("block", block)
-    rows = rows.withColumn("block", F.when(F.octet_length("block") == F.col("length"), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("wrong length of record "), "rid"))))
-    whole = rows.filter("number is null").select("rid", "record_type", "digest", "refers_to", "block")
-    parts = rows.filter("number is not null").groupBy(F.coalesce("origin", "rid").alias("rid")).agg(
+    wrong = F.raise_error(F.concat(F.lit("wrong length of record "), "rid"))
+    block = F.expr("substr(raw, octet_length(head) + 5)")  # and two blank lines
+    fields = {"rid": field("WARC-Record-ID"), "record_type": field("WARC-Type"), "digest": field("WARC-Payload-Digest"), "length": field("Content-Length").cast("long"), "block": block}
+    sized = F.when(F.octet_length("block") == F.col("length") + 4, F.expr("substr(block, 1, int(length))")).otherwise(wrong)
+    whole = raw.filter(~segment).withColumns(fields | {"refers_to": field("WARC-Refers-To")}).filter("record_type <> 'warcinfo'")
+    whole = whole.select("rid", "record_type", "digest", "refers_to", sized.alias("block"))
+    more = {"number": field("WARC-Segment-Number").cast("int"), "origin": field("WARC-Segment-Origin-ID"), "total": field("WARC-Segment-Total-Length").cast("long")}
+    parts = raw.filter(segment).withColumns(fields | more).withColumn("block", sized)
+    parts = parts.groupBy(F.coalesce("origin", "rid").alias("rid")).agg(
         F.sort_array(F.collect_set(F.struct("number", "block"))).alias("p"), F.max("total").alias("total"), F.max("digest").alias("digest")
     )
     joined = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
