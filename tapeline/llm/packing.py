@@ -209,3 +209,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pack_documents(docs: DataFrame) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null texts are empty: their end id is packed."""
     return pack(written(pieces(docs), "pieces")).withColumnRenamed("id", "doc_id")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, media, packing, simhash, warc
+from . import exact_dedup, langid, licenses, media, merges, packing, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": licenses.op1_license_scan,
+        "op2_merge_dropout": merges.op2_merge_dropout,
         "op3_warc": warc.op3_warc,
+        "op5_langid": langid.op5_langid,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_packing": packing.op7_packing,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_simhash": simhash.op9_simhash,
         "op10_media": media.op10_media,
     }
