@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, licenses, media, merges, packing, simhash, toxicity, warc
+from . import chat, exact_dedup, langid, licenses, media, merges, packing, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": licenses.op1_license_scan,
         "op2_merge_dropout": merges.op2_merge_dropout,
         "op3_warc": warc.op3_warc,
+        "op4_chat": chat.op4_chat,
         "op5_langid": langid.op5_langid,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_packing": packing.op7_packing,
