@@ -19,8 +19,8 @@ SPACE = "▁"
 #: Share of candidate merges that are skipped, and the key of the hash.
 DROPOUT, SEED = 0.1, 42
 #: Characters whose agendas run side by side.
-CHARS = 400_000
-NONE = np.int64(1 << 40)  # rank of a pair that doesn't merge
+CHARS = 150_000
+LATE = np.int64((1 << 31) - 1)  # order of a pair that doesn't merge
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,9 +61,10 @@ class Vocabulary:
                 a, b = usable.get(p[:k]), usable.get(p[k:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = i
-        self.rank = np.full(n, NONE)
-        for p, i in usable.items():
-            self.rank[i] = -int(sp.get_score(i))
+        #: Ids by falling score, and each id's place there.
+        self.by_rank = np.array(sorted(range(n), key=lambda i: (-sp.get_score(i), i)), np.int64)
+        self.order = np.empty(n, np.int64)
+        self.order[self.by_rank] = np.arange(n)
         self.bits = max(16, int(len(pairs) * 4).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.zeros(1 << self.bits, np.int64)
@@ -122,55 +123,41 @@ def encode(texts: list[str], keys: np.ndarray, vocab: Vocabulary, dropout: float
     if len(codes):
         starts[1:] = (space[1:] & ~space[:-1] & vocab.breaks_after_space) | (text[1:] != text[:-1])
     other = np.flatnonzero(sym < 0)  # characters without a piece: bytes, never merged
-    order = place.copy()
-    alive, live_word = np.arange(len(codes)), np.cumsum(starts)
     done_place, done_sym = [], []
     limit = np.uint64(min(int(dropout * 2.0**64), (1 << 64) - 1))
     key = mix(mix(np.asarray(keys, np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
 
-    s, w, at = sym[alive], live_word[alive], alive
-    to = vocab_pairs(vocab, s, w)
+    # symbols of all unfinished words: piece, place in the batch, whether it ends its word, and the order of the merge with the next
+    s, at = sym.copy(), np.arange(len(codes))
+    end = np.append(starts[1:], True) if len(codes) else np.empty(0, bool)
+    first = np.flatnonzero(starts) if len(codes) else np.empty(0, np.int64)
+    turn = next_merge(vocab, s, np.arange(len(s)), end)
     while len(s):
-        rank = np.where(to >= 0, vocab.rank[to], NONE)
-        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        # best candidate of each word: the smallest rank, then the leftmost
-        packed = (rank << 22 | np.arange(len(rank)) - np.repeat(first, np.diff(np.append(first, len(w)))))
-        best = np.minimum.reduceat(packed, first)
-        has = best >> 22 < NONE
-        length = np.diff(np.append(first, len(w)))
-        if not has.all():  # words without candidates are finished
-            over = np.repeat(~has, length)
+        best = np.minimum.reduceat(turn << 32 | np.arange(len(s)), first)  # the smallest rank of each word, then the leftmost
+        has = best >> 32 < LATE
+        i = best[has] & (1 << 32) - 1
+        new = vocab.by_rank[turn[i]]
+        keep = np.ones(len(s), bool)
+        if len(i) < len(first):  # words without candidates are finished
+            over = np.repeat(~has, np.diff(np.append(first, len(s))))
             done_place.append(at[over])
             done_sym.append(s[over])
-            keep = ~over
-            s, w, at, to = s[keep], w[keep], at[keep], to[keep]
-            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else first[:0]
-            best = best[has]
-            if not len(s):
-                break
-        i = first + (best & (1 << 22) - 1)
-        new = to[i]
-        h = mix(key[text[at[i]]] + mix((order[at[i]].astype(np.uint64) << np.uint64(20)) ^ new.astype(np.uint64)))
-        skip = h < limit if dropout > 0 else np.zeros(len(i), bool)
-        to[i[skip]] = -1
-        i, new = i[~skip], new[~skip]
-        if not len(i):
-            continue
+            keep[over] = False
+        if dropout > 0:
+            where = at[i]
+            h = mix(key[text[where]] + mix((place[where].astype(np.uint64) << np.uint64(20)) ^ new.astype(np.uint64)))
+            skip = h < limit
+            turn[i[skip]] = LATE
+            i, new = i[~skip], new[~skip]
         s[i] = new
-        keep = np.ones(len(s), bool)
+        end[i] = end[i + 1]
         keep[i + 1] = False
         where = np.cumsum(keep) - 1
-        s, w, at, to = s[keep], w[keep], at[keep], to[keep]
+        s, at, end, turn, first = s[keep], at[keep], end[keep], turn[keep], where[first[has]]
         left = where[i]
-        touched = np.concatenate([left, left[left > 0] - 1])
-        ok = touched < len(s) - 1
-        fresh = np.full(len(touched), -1, np.int64)
-        t = touched[ok]
-        same = w[t] == w[t + 1]
-        fresh_ok = np.full(len(t), -1, np.int64)
-        fresh_ok[same] = pair_ids(vocab, s[t[same]], s[t[same] + 1])
-        fresh[ok] = fresh_ok
-        to[touched] = fresh
+        before = left[left > 0] - 1
+        touched = np.concatenate([left, before[~end[before]]])
+        turn[touched] = next_merge(vocab, s, touched, end)
     place_all = np.concatenate(done_place) if done_place else np.empty(0, np.int64)
     sym_all = np.concatenate(done_sym) if done_sym else np.empty(0, np.int64)
     sort = np.argsort(place_all, kind="stable")
@@ -189,22 +176,18 @@ def encode(texts: list[str], keys: np.ndarray, vocab: Vocabulary, dropout: float
     return out, np.bincount(text[place_all], counts, len(texts)).astype(np.int64) if len(texts) else np.empty(0, np.int64)
 
 
-def pair_ids(vocab: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.full(len(a), -1, np.int64)
-    ok = (a >= 0) & (b >= 0)
-    out[ok] = vocab.merged(a[ok], b[ok])
+def next_merge(vocab: Vocabulary, s: np.ndarray, i: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The order of what the symbols at ``i`` and the next ones of their words merge to; LATE if they don't."""
+    out = np.full(len(i), LATE)
+    ok = ~end[i]
+    a, b = s[i[ok]], s[i[ok] + 1]
+    both = (a >= 0) & (b >= 0)
+    ok[ok] = both
+    got = vocab.merged(a[both], b[both])
+    out[ok] = np.where(got >= 0, vocab.order[got], LATE)
     return out
 
 
-def vocab_pairs(vocab: Vocabulary, s: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """What each symbol and the next of its word merge to."""
-    to = np.full(len(s), -1, np.int64)
-    if len(s) > 1:
-        same = np.flatnonzero(w[1:] == w[:-1])
-        to[same] = pair_ids(vocab, s[same], s[same + 1])
-    return to
-
-
 def decode(ids: np.ndarray, vocab: Vocabulary) -> str:
     """The text of ids; any segmentation of a text gives it back."""
     raw = b"".join(map(vocab.raw.__getitem__, ids.tolist()))

@@ -31,7 +31,7 @@ def agenda(text, key, vocab, dropout, seed):
             return
         m = int(vocab.merged(np.array([sym[i]]), np.array([sym[j]]))[0])
         if m >= 0:
-            heapq.heappush(heap, (int(vocab.rank[m]), i, j, sym[i], sym[j], m))
+            heapq.heappush(heap, (int(vocab.order[m]), i, j, sym[i], sym[j], m))
 
     for i in range(len(sym)):
         push(i)
