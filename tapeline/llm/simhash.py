@@ -21,13 +21,17 @@ CHUNK, SHORT = 4096, 16
 PIVOTS = 16
 
 
-def shingle_hashes(text: Column, words: int = WORDS) -> Column:
-    """XXH64 (seed 42) of every run of ``words`` words, repeats included; of all words if there are fewer; none without a word."""
-    w = F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
-    grams = lambda a: F.transform(a, lambda x, i: F.xxhash64(F.concat_ws(" ", x, *(F.get(a, i + k) for k in range(1, words)))))
+def split_words(text: Column) -> Column:
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+
+
+def shingle_hashes(w: str, words: int = WORDS) -> Column:
+    """XXH64 (seed 42) of every run of ``words`` words of column ``w``, repeats included; of all words if there are fewer; none without
+    a word. ``w`` is a column of its own: each shingle looks its words up in it."""
+    gram = F.transform(w, lambda x, i: F.xxhash64(F.concat_ws(" ", x, *(F.get(w, i + k) for k in range(1, words)))))
     n = F.size(w)
     whole = F.when(n > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(n >= words, F.slice(grams(w), F.lit(1), n - (words - 1))).otherwise(whole)
+    return F.when(n >= words, F.slice(gram, F.lit(1), n - (words - 1))).otherwise(whole)
 
 
 def majority(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -57,7 +61,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 values = h.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(majority(values, offsets))], names=["id", "fp"])
 
-    rows = df.select(F.col(id_col).alias("id"), shingle_hashes(F.col(text_col), words).alias("h"))
+    rows = df.select(F.col(id_col).alias("id"), split_words(F.col(text_col)).alias("w")).select("id", shingle_hashes("w", words).alias("h"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
 
 
