@@ -150,3 +150,16 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)
     return read_back(format_conversations(rows.unionByName(extra)))
+
+
+_PATTERN = "|".join(f"{re.escape(c[0])}{ESC}*{re.escape(c[1:])}" for c in CONTROLS)
+ORACLE = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, length(text) + len(regexp_extract_all(text, '{_PATTERN}')) + CASE role WHEN 'system' THEN {len("".join(TURNS["system"]))} WHEN 'user' THEN {len("".join(TURNS["user"]))}
+  WHEN 'assistant' THEN {len("".join(TURNS["assistant"]))} ELSE {len("".join(OTHER))} + length(role) + len(regexp_extract_all(role, '{_PATTERN}')) END AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""

@@ -20,6 +20,8 @@ SAMPLE = 30_000
 PRECISION, CHANCE, LEXICON, BEGINNING = 0.9, 0.01, 4096, 5
 STRIPES = 10  # voters that the words are dealt to, and as many for beginnings
 THRESHOLD = 0.7
+#: How much more the labelled rates weigh in each round than the rates that the model itself finds.
+ANCHOR = 4.0
 WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 # Common insults of four languages.
@@ -133,34 +135,44 @@ def unpack(votes: np.ndarray) -> np.ndarray:
 
 
 class LabelModel:
-    """P(voter votes | class) of each voter, a weight that its correlated partners lower, and the share of toxic texts."""
+    """P(voter votes | class) of each voter, the voters' positive correlations among toxic texts, and the share of toxic texts."""
 
-    def __init__(self, prior: float, toxic: np.ndarray, clean: np.ndarray, weight: np.ndarray) -> None:
-        clip = lambda x: np.clip(x, 1e-4, 1 - 1e-4)
-        self.prior, self.toxic, self.clean, self.weight = float(np.clip(prior, 1e-4, 0.5)), clip(toxic), clip(clean), weight
+    def __init__(self, prior: float, toxic: np.ndarray, clean: np.ndarray, corr: np.ndarray | None = None) -> None:
+        clip = lambda x: np.clip(x, 1e-5, 1 - 1e-5)
+        self.prior, self.toxic, self.clean = float(np.clip(prior, 1e-4, 0.5)), clip(toxic), clip(clean)
+        self.corr = np.zeros((len(toxic), len(toxic))) if corr is None else corr
+        self.useful = (self.toxic > self.clean).astype(float)
+
+    @property
+    def weight(self) -> np.ndarray:
+        """Of each voter if all others vote as well; 0 for one that votes more often on clean than on toxic texts."""
+        return self.useful / (1 + self.corr.sum(axis=1))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        h = unpack(votes)
+        """P(toxic | votes). A vote's evidence is shared with the correlated voters that vote too, so a lone vote counts in full."""
+        h = unpack(votes).astype(float)
         on, off = np.log(self.toxic / self.clean), np.log((1 - self.toxic) / (1 - self.clean))
-        z = math.log(self.prior / (1 - self.prior)) + (h * on + (1 - h) * off) @ self.weight
+        z = math.log(self.prior / (1 - self.prior)) + (h * self.useful / (1 + h @ self.corr)) @ on + (1 - h) @ (off * self.weight)
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def fit_label_model(votes: DataFrame, labelled: DataFrame, rounds: int = 6) -> LabelModel:
     """Expectation maximisation over the votes of all texts (column ``votes``), grouped by pattern, each round one aggregation.
 
-    It starts from the rates in ``labelled`` (votes, toxic), a bounded sample. In each round the posterior of every pattern gives
+    It starts from the rates in ``labelled`` (votes, toxic), a bounded sample, and stays anchored to them, lest texts with one vote
+    end up in the wrong class and keep it there. In each round the posterior of every pattern gives
     the voters' rates in either class and, from the pairs' joint rates among toxic texts, their correlations there. A voter's
-    weight is one over one plus the sum of its positive correlations, so voters that repeat each other count once together.
-    Voters that vote more often on clean than on toxic texts keep weight 0.
+    weight is one over one plus its positive correlations with those that vote too, so voters that repeat each other count once.
+    Voters that vote more often on clean than on toxic texts have weight 0.
     """
     m = N_VOTERS
     at = labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.expr(f"shiftright(votes, {j}) & 1")).alias(f"s{j}") for j in range(m)))
     rates = {r["toxic"]: ((np.array([r[f"s{j}"] for j in range(m)]) + 0.1) / (r["n"] + 1.0), r["n"]) for r in at.collect()}
     if 0 not in rates or 1 not in rates:
-        return LabelModel(0.01, np.full(m, 0.01), np.full(m, 0.01), np.zeros(m))
+        return LabelModel(0.01, np.full(m, 0.01), np.full(m, 0.01))
     (toxic, n1), (clean, n0) = rates[1], rates[0]
-    model = LabelModel(n1 / (n1 + n0), toxic, clean, (toxic > clean).astype(float))
+    known_toxic, known_clean = toxic, clean
+    model = LabelModel(n1 / (n1 + n0), toxic, clean)
     patterns = written(votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "patterns")
     upper = [(i, j) for i in range(m) for j in range(i, m)]
 
@@ -184,14 +196,13 @@ def fit_label_model(votes: DataFrame, labelled: DataFrame, rounds: int = 6) -> L
         for (i, j), value in zip(upper, x[2 + m :], strict=True):
             both[i, j] = both[j, i] = value
         one = max(x[1], 1e-9)
-        toxic = (both.diagonal() + 0.1) / (one + 1)
-        clean = (x[2 : 2 + m] - both.diagonal() + 0.1) / (x[0] - one + 1)
+        toxic = ((both.diagonal() + 0.1) / (one + 1) + ANCHOR * known_toxic) / (1 + ANCHOR)
+        clean = ((x[2 : 2 + m] - both.diagonal() + 0.1) / (x[0] - one + 1) + ANCHOR * known_clean) / (1 + ANCHOR)
         mean = both.diagonal() / one
         sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
         corr = (both / one - np.outer(mean, mean)) / np.outer(sd, sd)
         np.fill_diagonal(corr, 0)
-        weight = np.where(toxic > clean, 1 / (1 + np.maximum(corr, 0).sum(axis=1)), 0.0)
-        model = LabelModel(x[1] / x[0], toxic, clean, weight)
+        model = LabelModel(x[1] / x[0], toxic, clean, np.maximum(corr, 0))
     return model
 
 
@@ -203,7 +214,7 @@ def features(f: pd.DataFrame) -> np.ndarray:
     return np.concatenate([unpack(f["votes"].to_numpy(np.int64)).astype(float), more], axis=1)
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 25) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 25) -> np.ndarray:
     """Weights of a logistic regression on soft labels, by Newton's steps; classes weigh alike."""
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     row = y / share + (1 - y) / (1 - share)
