@@ -35,10 +35,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     repeated = groups.filter("n > 1")
 
     salts = F.ceil(F.col("n") / SALT_ROWS)
-    members = base.withColumn("key", key).join(repeated, "key")
+    members = written(base.withColumn("key", key).join(repeated, "key"), "dedup-members")  # texts are shuffled once
     text_of = members.filter(F.col("id").eqNullSafe(F.col("keep"))).groupBy("key", "n").agg(F.min("t").alias("kept_t"))
     text_of = text_of.select("key", "kept_t", F.explode(F.sequence(F.lit(0), salts.cast("int") - 1)).alias("salt"))
-    members = members.withColumn("salt", F.pmod(F.xxhash64("id", "t"), salts).cast("int"))
+    members = members.select("id", "key", "t", F.pmod(F.xxhash64("id", "t"), salts).cast("int").alias("salt"))
     differs = members.join(text_of, ["key", "salt"]).filter("t <> kept_t")
     strays = written(differs.select("id", "key", "t", F.sha2("t", 256).alias("sha")), "dedup-strays")
     apart = strays.groupBy("key", "sha", "t").agg(pick("id").alias("keep2"), F.count(F.lit(1)).alias("n2")).drop("t")
