@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.kernels import reset_scan
+from ..functions.storage import written
 from ..functions.windows import by_symbol
 
 
@@ -49,9 +50,55 @@ def assign_bars(df: DataFrame, divisor: int = 300) -> DataFrame:
     return rows.groupBy("symbol").applyInPandas(scan, f"{schema}, bar_id bigint, breach boolean")
 
 
-def dollar_bars(ticks: DataFrame, rows: int = 210, divisor: int = 300, warmup: str = "backfill") -> DataFrame:
-    """symbol, seq (bar number from 1), ts, open, high, low, close, volume of finished bars."""
-    out = assign_bars(with_bar_threshold(ticks, rows, warmup), divisor).groupBy("symbol", "bar_id").agg(
+def assign_bars_chunked(df: DataFrame, divisor: int = 300, chunk_rows: int = 1_000_000, max_rounds: int = 1000) -> DataFrame:
+    """assign_bars for symbols too long for one task: chunks of a symbol are scanned side by side.
+
+    Every chunk starts from no carry. Then each takes what the chunk before it ended with, and those whose carry changed are scanned
+    again, until none changes. A breach resets the sum, so two scans of a chunk soon meet on the same tick and end alike: two or
+    three rounds do, of which the later ones read few chunks.
+    """
+    rows = df.filter("bar_sum is not null").withColumn("chunk", F.floor((F.col("seq") - 1) / chunk_rows))
+    rows = written(rows, "bar-chunks")
+    kind = rows.schema["symbol"].dataType.simpleString()
+    key = ["symbol", "chunk"]
+
+    def end(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("seq")
+        carry = int(f["carry"].iat[0])
+        _, breach, cum, _ = reset_scan(f["dv"].tolist(), f["bar_sum"].tolist(), divisor, carry, 0)
+        return pd.DataFrame({"symbol": [f["symbol"].iat[0]], "chunk": [f["chunk"].iat[0]], "carry": [carry], "bars": [sum(breach)], "out": [cum]})
+
+    def ends(todo: DataFrame) -> DataFrame:
+        return rows.select(*key, "seq", "dv", "bar_sum").join(todo, key).groupBy(*key).applyInPandas(end, f"symbol {kind}, chunk bigint, carry bigint, bars bigint, out bigint")
+
+    w = W.partitionBy("symbol").orderBy("chunk")  # a row a chunk
+    state = written(ends(rows.select(*key).distinct().withColumn("carry", F.lit(0).cast("bigint"))), "bar-ends")
+    for _ in range(max_rounds):
+        due = written(state.withColumn("due", F.coalesce(F.lag("out").over(w), F.lit(0).cast("bigint"))), "bar-due")
+        late = due.filter("due <> carry")
+        if late.isEmpty():
+            break
+        again = ends(late.select(*key, F.col("due").alias("carry")))
+        state = written(due.filter("due = carry").select(state.columns).unionByName(again), "bar-ends")
+    else:
+        raise RuntimeError("carries did not settle")
+    before = state.withColumn("before", F.sum("bars").over(w) - F.col("bars")).select(*key, "carry", "before")
+
+    def scan(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("seq")
+        ids, breach, _, _ = reset_scan(f["dv"].tolist(), f["bar_sum"].tolist(), divisor, int(f["carry"].iat[0]), int(f["before"].iat[0]))
+        return f.drop(columns=["chunk", "carry", "before"]).assign(bar_id=ids, breach=breach)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    return rows.join(before, key).select(*df.columns, "chunk", "carry", "before").groupBy(*key).applyInPandas(scan, f"{schema}, bar_id bigint, breach boolean")
+
+
+def dollar_bars(ticks: DataFrame, rows: int = 210, divisor: int = 300, warmup: str = "backfill", chunk_rows: int | None = None) -> DataFrame:
+    """symbol, seq (bar number from 1), ts, open, high, low, close, volume of finished bars. With ``chunk_rows``, symbols are scanned in
+    chunks of as many ticks."""
+    ticks = with_bar_threshold(ticks, rows, warmup)
+    scanned = assign_bars(ticks, divisor) if chunk_rows is None else assign_bars_chunked(ticks, divisor, chunk_rows)
+    out = scanned.groupBy("symbol", "bar_id").agg(
         F.max("ts").alias("ts"), F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", "seq").alias("close"), F.sum("volume").alias("volume"), F.bool_or("breach").alias("done"),
     )

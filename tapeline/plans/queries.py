@@ -119,6 +119,12 @@ def dollar_bars(spark, sf_dir):
     return tapes.event_bars(spark, sf_dir).select("symbol", "seq", text("ts"), *OHLCV)
 
 
+@query(f"{EVENT_BARS} {BAR_COLS}")
+def dollar_bars_chunked(spark, sf_dir):
+    out = bars.dollar_bars(tapes.tape_events(spark, sf_dir), chunk_rows=500)  # small, so that the test data's symbols fall into several
+    return out.select("symbol", "seq", text("ts"), *OHLCV)
+
+
 @query(f"{LINEITEM_BARS} {BAR_COLS}")
 def dollar_bars_lineitem(spark, sf_dir):
     return tapes.lineitem_bars(spark, sf_dir).select("symbol", "seq", text("ts"), *OHLCV)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import folder
 from ..streaming import stream
 from . import tapes
 from .tapes import EVENT_BARS, TICKS_E
@@ -15,12 +13,6 @@ from .tapes import EVENT_BARS, TICKS_E
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared one; a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tapeline-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tape as files in a folder of its own, in order of time, and a stream of them."""
     path = folder(spark, "ticks")
