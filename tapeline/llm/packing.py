@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from .common import documents, written
 
 CAPACITY, END = 1024, 2
-#: Longer pieces are large: they are grouped. Groups of large pieces.
-SMALL, GROUPS = 128, 256
+#: Longer pieces are large: they are grouped. Each bound is tried, and the plan with the fewest sequences taken. The last one is best-fit alone.
+SMALL = (64, 128, 192, 256, 320, 384, 512, CAPACITY)
+GROUPS = 1024  # of large pieces
 #: Pieces that one window ranks.
 RANK_ROWS = 50_000
 
@@ -113,7 +114,12 @@ def fullest(demand: dict[int, int], capacity: int) -> dict[int, int]:
     return used
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, small: tuple[int, ...] = SMALL, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
+    """The plan with the fewest sequences over the bounds ``small``."""
+    return min((group_and_fit(counts, capacity, s, groups) for s in small), key=lambda runs: max((r[3] + r[2] for r in runs), default=0))
+
+
+def group_and_fit(counts: dict[int, int], capacity: int, small: int, groups: int) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, count, first sequence, offset) of runs of pieces, from how many pieces have each length.
 
     Large lengths are rounded up to few sizes by linear grouping. The fullest configuration with the largest size left is taken as
