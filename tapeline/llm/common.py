@@ -42,6 +42,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def with_ids(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
+    """Documents whose doc_id is (or isn't) in ``ids``; null is an id like any other. Rows that repeat an id share its fate."""
+    ids = ids.select(F.col("doc_id").alias("_listed_id")).distinct()
+    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_listed_id"]), "left_semi" if keep else "left_anti")
+    return rows.select(docs.columns)
+
+
 def bucket(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the split into training and held-out rows."""
     return F.crc32(id_col.cast("string").cast("binary")) % n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lower_ascii, written
+from .common import documents, lower_ascii, with_ids, written
 
 #: Members of a group that one task compares with the group's text.
 SALT_ROWS = 256
@@ -66,5 +66,4 @@ FROM t WINDOW g AS (PARTITION BY t)
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the smallest id."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return with_ids(docs, exact_dedup(docs).filter("kept"))

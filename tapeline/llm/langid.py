@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucket, documents, written
+from .common import bucket, documents, with_ids, written
 
 #: n-grams of a profile; their longest length.
 PROFILE, LONGEST = 300, 3
@@ -181,5 +181,4 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents but for those that have no letter or resemble none of the learned languages."""
-    good = identify(docs, fit(docs)).filter((F.col("lang_pred") != UND) & (F.col("distance") < FAR)).select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(docs.columns)
+    return with_ids(docs, identify(docs, fit(docs)).filter((F.col("lang_pred") != UND) & (F.col("distance") < FAR)))

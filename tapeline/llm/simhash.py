@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lower_ascii, written
+from .common import documents, lower_ascii, with_ids, written
 
 WORDS, BITS = 4, 4
 #: Parts of a fingerprint, in bits. Four differing bits leave two parts alike.
@@ -215,5 +215,4 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates, the document with the smallest id."""
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return with_ids(docs, near_duplicates(docs).filter("doc_id <=> component_id"))
