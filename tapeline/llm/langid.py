@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucket, documents, with_ids, written
+from .common import bucket, documents, written
 
 #: n-grams of a profile; their longest length.
 PROFILE, LONGEST = 300, 3
@@ -138,13 +138,13 @@ class Profiles:
         return total / np.maximum(1, size * self.size)[:, None], size > 0
 
 
-def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score, distance of every row. Null texts and texts without a letter are ``und`` with score 0 and distance 1,
-    and so is everything if no language was learned. The score is the nearest language's share of weights that fall with distance.
-    Equal distances go to the first language in order of name. Only the text is looked at; other columns are ignored."""
+def tagger(profiles: Profiles):
+    """A function of a text column (without nulls) to lang_pred, score and distance."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches(frames, "t"):
+    @F.pandas_udf("lang_pred string, score double, distance double")
+    def tag(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for part in batches(iter([texts.to_frame("t")]), "t"):
             pred, score, dist = np.full(len(part), UND, object), np.zeros(len(part)), np.ones(len(part))
             if profiles.langs:
                 d, letters = profiles.distances(part["t"].tolist())
@@ -153,11 +153,18 @@ def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col
                 share = 1 / np.exp(-SHARPNESS * (d - low[:, None])).sum(axis=1)
                 pred[letters] = np.array(profiles.langs, object)[best[letters]]
                 score[letters], dist[letters] = share[letters], low[letters]
-            yield pd.DataFrame({"id": part["id"].array, "lang_pred": pred, "score": score, "distance": dist})
+            out.append(pd.DataFrame({"lang_pred": pred, "score": score, "distance": dist}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": [], "distance": []})
+
+    return tag
 
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, lang_pred string, score double, distance double").withColumnRenamed("id", id_col)
+
+def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, lang_pred, score, distance of every row. Null texts and texts without a letter are ``und`` with score 0 and distance 1,
+    and so is everything if no language was learned. The score is the nearest language's share of weights that fall with distance.
+    Equal distances go to the first language in order of name. Only the text is looked at; other columns are ignored."""
+    tag = tagger(profiles)
+    return df.select(id_col, tag(F.coalesce(F.col(text_col), F.lit(""))).alias("_tag")).select(id_col, "_tag.*")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id") -> Profiles:
@@ -181,4 +188,5 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents but for those that have no letter or resemble none of the learned languages."""
-    return with_ids(docs, identify(docs, fit(docs)).filter((F.col("lang_pred") != UND) & (F.col("distance") < FAR)))
+    tag = tagger(fit(docs))(F.coalesce("text", F.lit("")))
+    return docs.filter((tag["lang_pred"] != UND) & (tag["distance"] < FAR))  # row by row: nothing is shuffled
