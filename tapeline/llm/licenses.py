@@ -110,3 +110,32 @@ def license_report(spans: DataFrame, coverage: float = COVERAGE, id_col: str = "
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(license_spans(documents(spark, sf_dir)))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_VALUES = ", ".join(
+    f"({i}, {_quoted(label)}, {phrase}, {k}, {_quoted(text)})"
+    for i, (label, text, phrase, k) in enumerate([(*x, "true", PHRASE_K) for x in PHRASES] + [(*x, "false", K) for x in TEMPLATES])
+)
+_WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+WITH t(template, label, phrase, k, txt) AS (VALUES {_VALUES}),
+tw AS (SELECT *, {_WORDS.format("txt")} AS w FROM t),
+tg AS (SELECT template, label, phrase, k, len(w) AS size, p0, array_to_string(w[p0 + 1 : p0 + k], ' ') AS gram FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS p0 FROM tw)),
+d AS MATERIALIZED (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+g AS (SELECT doc_id, k, pos, array_to_string(w[pos + 1 : pos + k], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS pos FROM d), (SELECT unnest([{PHRASE_K}, {K}]) AS k)),
+dg AS (SELECT doc_id, template, label, phrase, tg.k, size, pos - p0 AS diagonal, min(pos) AS f, max(pos) AS l, list(p0) AS ats FROM g JOIN tg ON tg.k = g.k AND tg.gram = g.gram GROUP BY ALL),
+st AS (SELECT *, CASE WHEN phrase OR lag(l) OVER w IS NULL OR abs(diagonal - lag(diagonal) OVER w) > {DRIFT} OR f - lag(l) OVER w > {GAP} THEN 1 ELSE 0 END AS s
+  FROM dg WINDOW w AS (PARTITION BY doc_id, template ORDER BY f, diagonal)),
+sp AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, template ORDER BY f, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM st),
+sc AS (SELECT doc_id, template, label, phrase, size, min(f) AS f, len(list_distinct(flatten(list(list_transform(range(0, k), lambda j: a + j))))) / size AS coverage
+  FROM (SELECT *, unnest(ats) AS a FROM sp) GROUP BY doc_id, template, label, phrase, size, span),
+ok AS (SELECT *, coverage >= CASE WHEN phrase THEN 1.0 ELSE {COVERAGE} END AS ok FROM sc)
+SELECT d.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(*) FILTER (ok AND phrase) AS n_base, min(f) FILTER (ok AND phrase) AS first_word, max(f) FILTER (ok AND phrase) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (ok AND phrase), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (ok), '') AS labels,
+  coalesce(max(coverage), 0) AS score, count(*) FILTER (ok AND NOT phrase) AS n_spans
+FROM d LEFT JOIN ok USING (doc_id) GROUP BY d.doc_id
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_license_scan": licenses.ORACLE, "op3_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
