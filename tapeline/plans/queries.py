@@ -68,7 +68,7 @@ def normalize_pages(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT user_id % 3 AS g, list(DISTINCT event_type) AS tickers FROM events GROUP BY 1)
-SELECT unnest(tickers) AS symbol, CASE WHEN g = 0 THEN 0.001 ELSE 0.0005 END AS fee, CASE WHEN g = 1 THEN 60 ELSE 730 END AS days FROM c""")
+SELECT unnest(tickers) AS symbol, CAST(CASE WHEN g = 0 THEN 0.001 ELSE 0.0005 END AS DOUBLE) AS fee, CAST(CASE WHEN g = 1 THEN 60 ELSE 730 END AS BIGINT) AS days FROM c""")
 def universe(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     c = e.groupBy((F.col("user_id") % 3).alias("g")).agg(F.collect_set("event_type").alias("tickers"))
