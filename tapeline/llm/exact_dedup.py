@@ -31,7 +31,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     sha = F.sha2(F.col("t"), 256)
     key = F.unhex(F.substring(sha, 1, 32)) if hashed is None else hashed
     keyed = written(base.select("id", key.alias("key"), sha.alias("sha")), "dedup-keys")
-    groups = keyed.groupBy("key").agg(pick("id").alias("keep"), F.count(F.lit(1)).alias("n"), F.min("sha").alias("any_sha"))
+    # a table, so that both sides of the joins below are plain shuffles and adaptive execution can split a key with very many rows
+    groups = written(keyed.groupBy("key").agg(pick("id").alias("keep"), F.count(F.lit(1)).alias("n")), "dedup-groups")
     repeated = groups.filter("n > 1")
 
     salts = F.ceil(F.col("n") / SALT_ROWS)
