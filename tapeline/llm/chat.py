@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import through_python
+
 # The control strings that open and close a role's turn. Other roles: [ROLE]name[TEXT]text[/ROLE].
 TURNS = {"system": ("[SYS]", "[/SYS]"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 OTHER = ("[ROLE]", "[TEXT]", "[/ROLE]")
@@ -101,8 +103,7 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
             got.insert(0, "conv_id", f["conv_id"].array)
             yield got
 
-    kind = rows.schema["conv_id"].dataType.simpleString()
-    return rows.select("conv_id", "role", "text").mapInPandas(run, f"conv_id {kind}, rendered string, loss_start bigint, loss_end bigint")
+    return through_python(rows.select("conv_id", "role", "text"), run, "rendered string, loss_start bigint, loss_end bigint", ("conv_id",))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -139,10 +140,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if now is not None:
             yield pd.DataFrame([row()], columns=names)
 
-    kind = formatted.schema["conv_id"].dataType.simpleString()
-    schema = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    names = [x.split()[0] for x in schema.split(", ")]
-    return formatted.mapInPandas(run, schema)
+    schema = "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    names = ["conv_id", *(x.split()[0] for x in schema.split(", "))]
+    return through_python(formatted, run, schema, ("conv_id",))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

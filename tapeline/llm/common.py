@@ -49,6 +49,13 @@ def with_ids(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
     return rows.select(docs.columns)
 
 
+def through_python(rows: DataFrame, run, rest: str, ids: tuple[str, ...] = ("id",)) -> DataFrame:
+    """mapInPandas with the columns ``ids`` as text on the way, so that null beside large numbers doesn't turn them into floats."""
+    kinds = {c: rows.schema[c].dataType for c in ids}
+    out = rows.withColumns({c: F.col(c).cast("string") for c in ids}).mapInPandas(run, ", ".join([*(f"{c} string" for c in ids), rest]))
+    return out.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
+
+
 def bucket(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the split into training and held-out rows."""
     return F.crc32(id_col.cast("string").cast("binary")) % n

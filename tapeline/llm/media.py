@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, through_python
 
 PACKET, BODY = 188, 184
 PMT_PID, ES_PID, PROGRAM = 0x1000, 0x0100, 1
@@ -200,9 +200,8 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 padded = [_padded(t) for t in part["t"]]
                 yield pd.DataFrame({"id": part["id"].array, "n_bytes": [n for n, _ in padded], "media": [write_stream(p) for _, p in padded]})
 
-    kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInPandas(write, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
+    return through_python(rows, write, "n_bytes bigint, media binary").withColumnRenamed("id", id_col)
 
 
 FEATURES = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
@@ -232,8 +231,7 @@ def stream_features(media: DataFrame, keep: list[str], media_col: str = "media")
             got = pd.DataFrame([features(bytes(x)) for x in frame[media_col]], columns=names)
             yield pd.concat([frame[keep].reset_index(drop=True), got], axis=1)
 
-    kinds = ", ".join(f"{k} {media.schema[k].dataType.simpleString()}" for k in keep)
-    return media.select(*keep, media_col).mapInPandas(read, f"{kinds}, {FEATURES}")
+    return through_python(media.select(*keep, media_col), read, FEATURES, tuple(keep))
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, through_python
 
 SPACE = "▁"
 #: Share of candidate merges that are skipped, and the key of the hash.
@@ -217,7 +217,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(F.col(id_col), F.length(text)).alias("key"))
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+    return through_python(rows, run, "ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode_documents(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
@@ -233,7 +233,7 @@ def decode_documents(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids"
                 yield pd.DataFrame({"id": p["id"].array, "n_ids": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids], "text": [decode(x, vocab) for x in ids]})
 
     rows = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, n_ids bigint, ids_crc32 bigint, text string").withColumnRenamed("id", id_col)
+    return through_python(rows, run, "n_ids bigint, ids_crc32 bigint, text string").withColumnRenamed("id", id_col)
 
 
 def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, through_python, written
 
 CAPACITY, END = 1024, 2
 #: Longer pieces are large: they are grouped. Each bound is tried, and the plan with the fewest sequences taken. The last one is best-fit alone.
@@ -50,12 +50,10 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             for ident, text in zip(frame["id"].array, frame["t"], strict=True):
                 ids = np.array([*encode(text or ""), END], "<u4")
                 out += [(ident, k, at, n, zlib.crc32(ids[at : at + n])) for k, (at, n) in enumerate(cut(len(ids)))]
-            got = pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"])
-            yield got.astype({"id": frame["id"].dtype}) if len(got) else got
+            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return through_python(rows, run, "piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 class Bins:
@@ -204,8 +202,8 @@ def pack(df: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("id"
             out = frame.drop(columns=["bucket", "before", "k"])
             yield out.assign(sequence_id=run[:, 3] + rank - run[:, 1], offset=run[:, 4])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return ranked.select(*df.columns, "bucket", "before", "k").mapInPandas(look_up, f"{kinds}, sequence_id bigint, offset bigint")
+    ids = tuple(f.name for f in df.schema if f.name != "length")
+    return through_python(ranked.select(*ids, "length", "bucket", "before", "k"), look_up, "length bigint, sequence_id bigint, offset bigint", ids).select(*df.columns, "sequence_id", "offset")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

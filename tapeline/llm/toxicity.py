@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, documents, with_ids, written
+from .common import bucket, documents, through_python, with_ids, written
 
 #: Most labelled rows of each class that lexicon and classifier are fitted on.
 SAMPLE = 30_000
@@ -60,8 +60,13 @@ def sample_labels(labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
     Rows whose crc32 of doc_id mod 3 is 1 are held out.
     """
     rows = labels.filter("doc_id is not null and toxic is not null").filter(bucket(F.col("doc_id"), 3) != 1)
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    pick = lambda k: rows.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def pick(k: int) -> DataFrame:
+        share = min(1.0, 1.2 * per_class / max(1, sizes.get(k, 0)))  # all but a few of the rows that the limit drops never reach its sort
+        return rows.filter((F.col("toxic") == k) & (F.col("_h") < int(share * (1 << 30)))).orderBy("_h", "doc_id").limit(per_class).drop("_h")
+
     return pick(0).unionByName(pick(1))
 
 
@@ -127,7 +132,7 @@ def vote(df: DataFrame, lexicon: list[str], id_col: str = "doc_id", text_col: st
             yield pd.concat([f[["id"]].reset_index(drop=True), pd.DataFrame(got, columns=["votes", "hits", "begins", "words"], dtype=np.int64)], axis=1)
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, votes bigint, hits bigint, begins bigint, words bigint")
+    return through_python(rows, run, "votes bigint, hits bigint, begins bigint, words bigint")
 
 
 def unpack(votes: np.ndarray) -> np.ndarray:
@@ -258,8 +263,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             score = np.zeros(len(f)) if w is None else 1 / (1 + np.exp(-np.clip(features(f) @ w, -30, 30)))
             yield pd.DataFrame({"id": f["id"].array, "score": score, "predicted": (score >= THRESHOLD).astype(np.int32)})
 
-    kind = votes.schema["id"].dataType.simpleString()
-    return votes.mapInPandas(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    return through_python(votes, run, "score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

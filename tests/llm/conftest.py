@@ -14,4 +14,4 @@ def docs(spark):
     return make
 
 
-EDGE = [(1, None), (2, ""), (3, " \n"), (4, "the MIT License, MIT License"), (4, "the MIT License, MIT License"), (5, "a b c d e " * 30_000), (None, "null id"), (7, "É" * 300), (8, "x")]
+EDGE = [(1, None), (2, ""), (3, " \n"), (4, "the MIT License, MIT License"), (4, "the MIT License, MIT License"), (5, "a b c d e " * 30_000), (None, "null id"), (7, "É" * 300), (8, "x"), (9_007_199_254_740_993, "a large id")]
