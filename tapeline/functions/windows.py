@@ -32,3 +32,20 @@ def with_halo(df: DataFrame, chunk: int, before: int = 0, after: int = 0, seq: s
     chunks = F.array(own, F.when(at % chunk >= chunk - before, own + 1) if before else F.lit(None), F.when((at % chunk < after) & (own > 0), own - 1) if after else F.lit(None))
     out = df.select("*", own.alias("_own"), F.explode(F.array_compact(chunks.cast("array<bigint>"))).alias("chunk"))
     return out.withColumn("own", F.col("chunk") == F.col("_own")).drop("_own")
+
+
+def in_chunks(df: DataFrame, operator, chunk: int, before: int = 0, after: int = 0) -> DataFrame:
+    """An operator that windows by ``symbol``, run on chunks of long symbols side by side: each chunk with its halo is a symbol of its own
+    for the operator, and only a chunk's own rows are kept. ``before`` and ``after``: how many rows the operator looks back and ahead."""
+    parts = with_halo(df, chunk, before, after).withColumn("symbol", F.struct("symbol", "chunk")).drop("chunk")
+    return operator(parts).filter("own").drop("own").withColumn("symbol", F.col("symbol.symbol"))
+
+
+def sequenced(df: DataFrame, order: list[str], part: Column) -> DataFrame:
+    """Adds seq: a row's number in its symbol by ``order``, from 1. ``part`` grows with the order (a day, say): rows are numbered within
+    (symbol, part), and what stands before a part is a sum over parts, so a symbol isn't one task."""
+    rows = df.withColumn("_part", part)
+    sizes = rows.groupBy("symbol", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    offset = sizes.withColumn("_before", F.sum("_n").over(by_symbol("_part")) - F.col("_n")).drop("_n")
+    number = F.row_number().over(Window.partitionBy("symbol", "_part").orderBy(*order))
+    return rows.withColumn("_k", number).join(offset, ["symbol", "_part"]).withColumn("seq", F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import reset_scan
 from ..functions.storage import written
-from ..functions.windows import by_symbol
+from ..functions.windows import by_symbol, in_chunks
 
 
 def with_dollar_volume(df: DataFrame) -> DataFrame:
@@ -96,8 +96,11 @@ def assign_bars_chunked(df: DataFrame, divisor: int = 300, chunk_rows: int = 1_0
 def dollar_bars(ticks: DataFrame, rows: int = 210, divisor: int = 300, warmup: str = "backfill", chunk_rows: int | None = None) -> DataFrame:
     """symbol, seq (bar number from 1), ts, open, high, low, close, volume of finished bars. With ``chunk_rows``, symbols are scanned in
     chunks of as many ticks."""
-    ticks = with_bar_threshold(ticks, rows, warmup)
-    scanned = assign_bars(ticks, divisor) if chunk_rows is None else assign_bars_chunked(ticks, divisor, chunk_rows)
+    if chunk_rows is None:
+        scanned = assign_bars(with_bar_threshold(ticks, rows, warmup), divisor)
+    else:
+        summed = in_chunks(ticks, lambda part: with_bar_threshold(part, rows, warmup), max(chunk_rows, rows), before=rows)
+        scanned = assign_bars_chunked(summed, divisor, chunk_rows)
     out = scanned.groupBy("symbol", "bar_id").agg(
         F.max("ts").alias("ts"), F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", "seq").alias("close"), F.sum("volume").alias("volume"), F.bool_or("breach").alias("done"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.windows import in_chunks
 from ..operators import backtest as bt
 from ..operators import bars, barriers, features, labels, model, pbo, prepare, telemetry
 from ..sources import io
@@ -150,6 +151,12 @@ def vpin(spark, sf_dir):
     return features.vpin(tapes.event_bars(spark, sf_dir)).select("symbol", "seq", r("vpin", 8))
 
 
+@query(ORACLE["vpin"])
+def vpin_chunked(spark, sf_dir):
+    out = in_chunks(tapes.event_bars(spark, sf_dir), features.vpin, 300, before=50)
+    return out.select("symbol", "seq", r("vpin", 8))
+
+
 @query(f"{EVENT_BARS}, {IMB} SELECT symbol, seq, CASE WHEN seq >= 51 THEN round(avg(abs(q)) OVER {over(50)} * 1e6, 6) END AS amihud FROM rows")
 def amihud(spark, sf_dir):
     return features.amihud(tapes.event_bars(spark, sf_dir)).select("symbol", "seq", r("amihud", 6, scale=1e6))
@@ -324,6 +331,11 @@ def triple_barrier(spark, sf_dir):
     return labelled(tapes.lineitem_bars(spark, sf_dir)).select("symbol", "seq", "label")
 
 
+@query(ORACLE["triple_barrier"])
+def triple_barrier_chunked(spark, sf_dir):
+    return in_chunks(tapes.lineitem_bars(spark, sf_dir), labelled, 100, after=15).select("symbol", "seq", "label")
+
+
 @query(f"{SRC_L}, {LABELS} SELECT label + 1 AS cls, count(*) AS n FROM labelled GROUP BY 1")
 def label_distribution(spark, sf_dir):
     return labels.label_distribution(labelled(tapes.lineitem_bars(spark, sf_dir)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.windows import by_symbol
+from ..functions.windows import by_symbol, sequenced
 from ..operators import bars
 
 
@@ -14,8 +14,8 @@ def tape_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five symbols whose length grows with the data."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value > 0")
     k = F.get_json_object("props", "$.k").cast("bigint")
-    seq = F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id")).cast("bigint")
-    return e.select(F.col("event_type").alias("symbol"), "ts", seq.alias("seq"), F.col("value").alias("price"), k.cast("double").alias("volume"), (F.round(F.col("value") * 100).cast("bigint") * k).alias("dv"))
+    rows = e.select(F.col("event_type").alias("symbol"), "ts", "event_id", F.col("value").alias("price"), k.cast("double").alias("volume"), (F.round(F.col("value") * 100).cast("bigint") * k).alias("dv"))
+    return sequenced(rows, ["ts", "event_id"], F.to_date("ts")).select("symbol", "ts", "seq", "price", "volume", "dv")
 
 
 def tape_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
