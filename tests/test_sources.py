@@ -59,3 +59,39 @@ def test_pbo_of_a_dominant_trial(spark):
     df = df.withColumn("ret", F.when(F.col("trial") == 2, 1.0).otherwise(0.0) + F.sin(F.col("t") * 7 + F.col("trial") * 3) / 10)
     got = pbo.pbo(pbo.pbo_logits(df, 8)).first()
     assert got.pbo == 0.0 and got.combos == 70
+
+
+def test_matrices_round_trip_and_projection(spark, tmp_path):
+    from tapeline.operators import prepare
+
+    cols = ["a", "b", "c", "d"]
+    df = spark.range(200).select(
+        F.lit("x").alias("symbol"), F.col("id").alias("seq"), F.when(F.col("id") < 150, "train").otherwise("test").alias("split"),
+        F.sin("id").alias("a"), (F.sin("id") * 2 + F.cos(F.col("id") * 3)).alias("b"), F.cos(F.col("id") * 5).alias("c"), F.lit(4.0).alias("d"),
+    )
+    scaler = prepare.fit_scaler(df, cols)
+    scaled = prepare.apply_scaler(df, scaler, cols)
+    pca = prepare.fit_pca(prepare.feature_cov(scaled, cols))
+    io.write_matrices(prepare.matrices(scaler, pca), str(tmp_path / "m"))
+    m = io.read_matrices(spark, str(tmp_path / "m"))
+    row = m.first()
+    assert row.scale[3] == 1.0 and row.explained == sorted(row.explained, reverse=True) and all(max(c, key=abs) > 0 for c in row.components)
+    out = prepare.apply_pca(prepare.apply_scaler(df, m, cols), m, cols).filter("split = 'train'")
+    assert abs(out.agg(F.corr("pca_1", "pca_2")).first()[0]) < 1e-9
+
+
+def test_time_zone_free_lookback_and_pages(spark):
+    pages = [("a", [[0.0, 1, 2, 0.5, 1.5, 10.0], [3_600_000.0, 1, 2, 0.5, 1.5, 10.0]]), ("a", [[3_600_000.0, 1, 2, 0.5, 1.5, 10.0], [864_000_000.0, 1, 1, 1, 1, 1.0]])]
+    rows = io.normalize_pages(spark.createDataFrame([(s, [[float(x) for x in r] for r in p]) for s, p in pages], "symbol string, page array<array<double>>"))
+    assert rows.count() == 3 and io.lookback(rows, 5).count() == 1
+    assert dict(rows.dtypes)["ts"] == "timestamp_ntz"
+
+
+def test_per_symbol_models(spark):
+    from tapeline.operators import model
+
+    df = spark.range(600).select(F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("symbol"), F.col("id").alias("seq"), (F.col("id") % 7).cast("double").alias("f"), (F.col("id") % 3).cast("int").alias("cls"))
+    data = model.split_random(model.training_set(df, ["f"]))
+    fitted = model.fit_per_symbol(data, ["f"], ["x"], trees=2, depth=2)
+    out = model.score(fitted["x"].transform(data.filter("symbol = 'x'"))).first()
+    assert abs(sum(out.probs) - 1) < 1e-9 and out.prediction in (0, 1, 2) and out.signal == out.prediction - 1
