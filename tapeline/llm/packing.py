@@ -6,7 +6,7 @@ import base64
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,8 @@ CAPACITY, END = 1024, 2
 #: Longer pieces are large: they are grouped. Each bound is tried, and the plan with the fewest sequences taken. The last one is best-fit alone.
 SMALL = (64, 128, 192, 256, 320, 384, 512, CAPACITY)
 GROUPS = 1024  # of large pieces
+#: Strings that are one token wherever they stand in a text, as the vocabulary's JSON file lists them.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Pieces that one window ranks.
 RANK_ROWS = 8192
 
@@ -31,7 +33,7 @@ def encoder(name: str) -> tiktoken.Encoding:
     """The byte-level BPE vocabulary as ranks: the same ids as its JSON file gives, several times as fast."""
     with open(public_tokenizers.path(name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -44,7 +46,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     """id, piece, start, length, ids_crc32: the token ids of each text and an end id, cut into at most 1024."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = partial(encoder(vocabulary).encode, allowed_special="all")
         for frame in frames:
             out = []
             for ident, text in zip(frame["id"].array, frame["t"], strict=True):

@@ -49,6 +49,22 @@ def test_edges(docs):
     assert packing.pack_documents(docs([])).count() == 0
 
 
+def test_added_token_is_one_id_inside_texts(docs):
+    end = "<|endoftext|>"
+    texts = [end, f"a{end}b", f"one  {end}  two\n{end}{end} three", "<|endoftext|", "<|EndOfText|>", f"é{end}\u3000x", f"w {end} " * 900, f"<{end}>", "<|endof" + end + "text|>"]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {(r.id, r.piece): r for r in packing.pieces(docs(list(enumerate(texts)))).collect()}
+    n = 0
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        for k, (at, length) in enumerate(packing.cut(len(ids))):
+            r = got[i, k]
+            assert (r.start, r.length, r.ids_crc32) == (at, length, zlib.crc32(ids[at : at + length].tobytes()))
+            n += 1
+    assert n == len(got) and got[0, 0].length == 2
+    assert {a.content: i for i, a in t.get_added_tokens_decoder().items()} == packing.SPECIAL
+
+
 def test_plan_is_whole_and_tight():
     for seed in range(8):
         rng = random.Random(seed)
