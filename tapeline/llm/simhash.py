@@ -19,6 +19,10 @@ PARTS = (11, 11, 11, 11, 10, 10)
 #: Fingerprints of a bucket that one task compares with as many; runs up to SHORT are compared row by row.
 CHUNK, SHORT = 4096, 16
 PIVOTS = 16
+#: The pipeline's stage: words of a shingle, and the share of two texts' shingles that makes them near copies, as a fraction.
+STAGE_WORDS, SHARE = 5, (4, 5)
+#: Sets of a shingle that are all paired; texts that are searched for common shingles, and how many such shingles are kept.
+FEW, SAMPLE, COMMON = 32, 5000, 200_000
 
 
 def split_words(text: Column) -> Column:
@@ -213,6 +217,131 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def prefixes(sets: DataFrame, common_last: np.ndarray) -> DataFrame:
+    """h, node, n, at: the first shingles of each set (node, n, s), as many as a set that shares ``SHARE`` with it can't all lack.
+
+    Shingles are ordered by hash, those of ``common_last`` (a sorted array of common ones) last, so that few sets share a first one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 2048):
+                part = batch.slice(begin, 2048)
+                s = part.column(1)
+                offsets = s.offsets.to_numpy()
+                values = s.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy()
+                n = np.diff(offsets).astype(np.int64)
+                of = np.repeat(np.arange(len(n)), n)
+                common = np.zeros(len(values), bool)
+                if len(common_last):
+                    common = common_last[np.searchsorted(common_last, values).clip(max=len(common_last) - 1)] == values
+                order = np.lexsort((values, common, of))
+                at = np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], n)
+                use = at < n[of] - least_overlap(n[of]) + 1
+                node = part.column(0).to_numpy()[of[use]]
+                yield pa.RecordBatch.from_arrays([pa.array(values[order][use]), pa.array(node), pa.array(n[of[use]].astype(np.int32)), pa.array(at[use].astype(np.int32))], names=["h", "node", "n", "at"])
+
+    return sets.select("node", "s").mapInArrow(run, "h bigint, node bigint, n int, at int")
+
+
+def least_overlap(n: np.ndarray) -> np.ndarray:
+    """Shingles that a set of n has in common with any set that shares ``SHARE`` with it."""
+    return -(-SHARE[0] * n // SHARE[1])
+
+
+def may_share(n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles whose first common one stands at ``at`` and ``bt`` can share ``SHARE``."""
+    p, q = SHARE
+    both = np.minimum(n - at, m - bt)
+    return (p + q) * both >= p * (n + m)
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """kind 0: pairs (a, b) of sets with a common first shingle; kind 1: rows (h, a, n, at) of shingles in over ``FEW`` sets, whose
+    sets are paired with the smallest one only."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            h = frame["h"].to_numpy(np.int64)
+            last = int(np.searchsorted(h, h[-1])) if len(h) else 0  # sorted by h within a partition
+            rest = frame.iloc[last:]
+            if last:
+                yield pairs(frame.iloc[:last])
+        if rest is not None and len(rest):
+            yield pairs(rest)
+
+    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
+        h, node, n, at = (frame[c].to_numpy(np.int64) for c in ("h", "node", "n", "at"))
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])
+        h, node, n, at = h[new], node[new], n[new], at[new]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        sizes = np.diff(np.append(starts, len(h)))
+        size, first = np.repeat(sizes, sizes), np.repeat(starts, sizes)
+        small = size <= FEW
+        a, b = [], []
+        for step in range(1, min(FEW, int(sizes.max()))):
+            x = np.flatnonzero(small[:-step] & (h[:-step] == h[step:]))
+            x = x[may_share(n[x], at[x], n[x + step], at[x + step])]
+            a.append(node[x])
+            b.append(node[x + step])
+        many = np.flatnonzero(~small)
+        x = many[first[many] != many]
+        a.append(node[first[x]])
+        b.append(node[x])
+        out = pd.DataFrame({"kind": 0, "h": 0, "a": np.concatenate(a), "b": np.concatenate(b), "n": 0, "at": 0}, dtype=np.int64).drop_duplicates()
+        return pd.concat([out, pd.DataFrame({"kind": 1, "h": h[many], "a": node[many], "b": 0, "n": n[many], "at": at[many]}, dtype=np.int64)])
+
+    return rows.repartition("h").sortWithinPartitions("h", "node").mapInPandas(run, "kind bigint, h bigint, a bigint, b bigint, n bigint, at bigint")
+
+
+def sharing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of (a, b) whose sets of shingles share ``SHARE`` or more of their union."""
+    p, q = SHARE
+    pairs = written(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct(), "pairs")
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    some = written(sets.select("node", "n", "s").join(ends, "node", "left_semi").dropDuplicates(["node"]), "paired-sets")
+    rows = pairs.join(some.toDF("u", "nu", "su"), "u").join(some.toDF("v", "nv", "sv"), "v")
+    common = F.size(F.array_intersect("su", "sv"))
+    return written(rows.filter((p + q) * common >= p * (F.col("nu") + F.col("nv"))).select("u", "v"), "sharing")
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS) -> DataFrame:
+    """id, component_id: the smallest id reachable over pairs of texts whose sets of shingles share ``SHARE`` or more of their union.
+
+    Exact: two sets that share so much have one of their first shingles in common, in any order of all shingles, and every pair is
+    verified on the sets. The order puts shingles last that are common in a sample, so that passages which many texts hold don't
+    pair them; the sample changes the time alone. Sets of a shingle that more than ``FEW`` sets begin with are first paired with
+    one of them, then only where they lie in different components. Null and empty texts have the empty set, and are one group.
+    """
+    rows = df.select(F.col(id_col).alias("id"), split_words(F.col(text_col)).alias("w"))
+    rows = rows.select("id", F.array_distinct(shingle_hashes("w", words)).alias("s"))
+    sets = written(rows.select("id", F.xxhash64(F.array_sort("s")).alias("node"), F.size("s").alias("n"), "s"), "shingles")
+    total = sets.count()
+    sample = sets.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(total, 1)) * (1 << 30)))
+    common = sample.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k >= 4").orderBy(F.desc("k"), "h").limit(COMMON)
+    last = np.sort(np.array([r["h"] for r in common.select("h").collect()], np.int64))
+    found = written(candidates(prefixes(sets, last)), "candidates")
+    edges = sharing(found.filter("kind = 0"), sets)
+    roots = components(edges)
+    many = found.filter("kind = 1").select("h", F.col("a").alias("node"), "n", "at")
+    if not many.isEmpty():
+        placed = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = placed.groupBy("h").agg(F.mode("root").alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h", "top")
+        placed = written(placed.join(mixed, "h").select("h", "node", "n", "at", "root", "top"), "mixed")
+        others = placed.filter("root <> top").drop("top").toDF("h", "node_a", "n_a", "at_a", "root_a")
+        p, q = SHARE
+        both = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
+        more = others.join(placed, "h").filter((F.col("root_a") != F.col("root")) & ((p + q) * both >= p * (F.col("n_a") + F.col("n"))))
+        late = sharing(more.select(F.col("node_a").alias("a"), F.col("node").alias("b")), sets)
+        if not late.isEmpty():
+            roots = components(edges.unionByName(late))
+    ids = sets.select("id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("id", "root")
+    least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
+    return ids.join(least, "root").select(F.col("id").alias(id_col), "component_id")
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id."""
-    return with_ids(docs, near_duplicates(docs).filter("doc_id <=> component_id"))
+    """Of each group of texts that share 0.8 or more of their 5-word shingles, the document with the smallest id."""
+    return with_ids(docs, similar_groups(docs).filter("doc_id <=> component_id"))

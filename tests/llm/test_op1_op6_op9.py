@@ -145,3 +145,74 @@ def test_simhash_edges(docs):
     assert len(got) == len(EDGE)
     assert {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1} and all(r.fp == 0 for r in got if r.doc_id in (1, 2, 3))
     assert simhash.near_duplicates(docs([])).count() == 0
+
+
+def shingles(text, k=5):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", low(text)) if x]
+    return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {" ".join(w)} if w else set()
+
+
+def share(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def similar_roots(texts):
+    s = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in s}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in s:
+        for b in s:
+            if b < a and 10 * len(s[a] & s[b]) >= 8 * len(s[a] | s[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in s}
+
+
+def planted(words, want, rng):
+    """``words`` with words replaced, one after the other, as long as the share of equal shingles stays at ``want`` or more."""
+    now, base = list(words), shingles(" ".join(words))
+    for k in rng.sample(range(len(words)), len(words)):
+        then = [*now[:k], f"other{k}", *now[k + 1 :]]
+        if share(base, shingles(" ".join(then))) < want:
+            break
+        now = then
+    return " ".join(now)
+
+
+@pytest.mark.parametrize("few", [32, 3])
+def test_stage_finds_copies_of_similarity_at_least_0_8(spark, docs, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)  # with 3, most shingles of a group are paired with one set first
+    rng = random.Random(11)
+    passage = [f"common{k}" for k in range(60)]
+    rows, by_share = {}, {}
+    for k in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(500)]
+        rows[100 * k] = " ".join(words)
+        for j, want in enumerate((0.8, 0.85, 0.9, 0.95, 0.7)):
+            rows[100 * k + j + 1] = planted(words, want, rng)
+            by_share[100 * k + j + 1] = share(shingles(rows[100 * k]), shingles(rows[100 * k + j + 1]))
+        rows[100 * k + 50] = " ".join([*passage, *(f"w{rng.randrange(10**6)}" for _ in range(8))])
+        rows[100 * k + 51] = " ".join([*passage, *(f"w{rng.randrange(10**6)}" for _ in range(40))])
+    start = [f"x{k}" for k in range(200)]
+    for k in range(40):  # a chain whose ends aren't alike
+        rows[5000 + k] = " ".join(start)
+        start[5 * k % 200 : 5 * k % 200 + 6] = [f"y{k}x{j}" for j in range(6)]
+    rows |= {9001: "a b c", 9002: "A  b\tc", 9003: "", 9004: None, 9005: "a b d"}
+    assert all(s >= 0.8 or i % 100 == 5 for i, s in by_share.items())
+    want = similar_roots(rows)
+    got = simhash.similar_groups(docs(list(rows.items()))).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(rows)
+    kept = {r.doc_id for r in simhash.near_dedup_stage(spark, docs(list(rows.items())), "").collect()}
+    assert kept == set(want.values()) and not kept & {100 * k + j for k in range(12) for j in (1, 2, 3, 4)}
+
+
+def test_stage_on_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = similar_roots({r.doc_id: r.text for r in df.collect()})
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == want
+    assert simhash.similar_groups(df.limit(0)).count() == 0
