@@ -60,7 +60,9 @@ def best_for_phi(phis: DataFrame, n_paths: int = 10_000, length: int = 15, seed:
             got = [kernels.best_barriers(kernels.ar_paths(x, eps), np.array(GRID))[:2] for x in f["phi"]]
             yield pd.DataFrame({"phi": f["phi"].to_numpy(float), "pt": [g[0] for g in got], "sl": [g[1] for g in got]}, dtype=float)
 
-    return phis.select("phi").distinct().repartition("phi").mapInPandas(run, "phi double, pt double, sl double")
+    spark = phis.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a given number isn't coalesced
+    return phis.select("phi").distinct().repartition(tasks, "phi").mapInPandas(run, "phi double, pt double, sl double")
 
 
 def rolling_barriers(df: DataFrame, window: int = 60, step: int = 20, n_paths: int = 10_000, seed: int = 7, digits: int | None = None) -> DataFrame:

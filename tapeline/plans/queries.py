@@ -252,7 +252,7 @@ def barrier_grid(spark, sf_dir):
 
 @query()
 def rolling_barriers(spark, sf_dir):
-    return barriers.rolling_barriers(tapes.event_bars(spark, sf_dir), n_paths=2000, digits=2).select("symbol", "seq", "optimal_pt", "optimal_sl")
+    return barriers.rolling_barriers(tapes.event_bars(spark, sf_dir)).select("symbol", "seq", "optimal_pt", "optimal_sl")
 
 
 # Datasets

@@ -62,6 +62,25 @@ def test_rolling_barriers_follow_the_seed(spark):
     assert one == two and all(r.optimal_pt == 2.0 for r in one[:60])
 
 
+def test_rolling_barriers_query_simulates_every_phi_on_all_paths(spark, monkeypatch):
+    import __spark_entry__
+    from tapeline.operators import barriers
+    from tapeline.plans import tapes
+
+    seen = []
+
+    def simulate(phis, n_paths=10_000, **rest):
+        seen.append((n_paths, {r.phi for r in phis.select("phi").collect()}))
+        return found(phis, n_paths=n_paths, **rest)
+
+    found = barriers.best_for_phi
+    monkeypatch.setattr(barriers, "best_for_phi", simulate)
+    got = __spark_entry__.queries()["rolling_barriers"](spark, "/root/testdata/sf0.001")
+    fit = barriers.ou_fit(barriers.rolling_slices(tapes.event_bars(spark, "/root/testdata/sf0.001")))
+    assert seen == [(10_000, {r.phi for r in fit.filter("sigma > 0").collect()})] and seen[0][1]
+    assert got.count() == tapes.event_bars(spark, "/root/testdata/sf0.001").count()
+
+
 def test_pca_scores_are_uncorrelated_on_train(spark):
     p = QUERIES["pca_scores"](spark, SF).toPandas()
     t = p[(p.split == "train") & (p.symbol == "view")][["pca_1", "pca_2", "pca_3"]]
