@@ -193,9 +193,9 @@ def sadf(spark, sf_dir):
 
 def _ffd_sql(d: float) -> str:
     w = kernels.ffd_weights(d)
-    values = ", ".join(f"({k}, {x!r}::DOUBLE)" for k, x in enumerate(w))
-    return f"""{EVENT_BARS}, w(k, w) AS (VALUES {values}),
-f AS (SELECT b.symbol, b.seq, sum(w.w * p.close) AS y FROM bars b JOIN w ON true JOIN bars p ON p.symbol = b.symbol AND p.seq = b.seq - w.k WHERE b.seq >= {len(w)} GROUP BY 1, 2)
+    last_first = ", ".join(f"{x!r}::DOUBLE" for x in reversed(w))
+    return f"""{EVENT_BARS}, past AS (SELECT symbol, seq, list(close) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN {len(w) - 1} PRECEDING AND CURRENT ROW) AS y FROM bars),
+full_past AS (SELECT symbol, seq, y FROM past WHERE len(y) = {len(w)}), f AS (SELECT symbol, seq, list_dot_product(y, [{last_first}]) AS y FROM full_past)
 SELECT symbol, seq, round(y, 6) AS ffd FROM bars LEFT JOIN f USING (symbol, seq)"""
 
 

@@ -12,13 +12,15 @@ SF = "/root/testdata/sf0.01"
 QUERIES, ORACLE = plans.queries(), plans.oracle_sql()
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def duck():
+    """A connection of its own for each test: an error in one leaves the others alone."""
     c = duckdb.connect()
     for f in os.listdir(SF):
         p = f"{SF}/{f}"
         c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{p + '/*.parquet' if os.path.isdir(p) else p}'")
-    return c
+    yield c
+    c.close()
 
 
 def rows(df):
