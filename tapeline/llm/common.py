@@ -19,10 +19,13 @@ def lower_ascii(col: Column) -> Column:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: below the cluster's checkpoint folder.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine, a temporary folder is set; elsewhere that is an error, since other
+    machines' files would be missed without notice.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tapeline-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -31,22 +34,49 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows as a Parquet table in the shared folder and read them again.
 
-    The table survives lost executors, is compressed and column-pruned on reading.
+    The table survives lost executors, is compressed and column-pruned on reading. It stays until ``discard`` removes it or whoever
+    owns the shared folder clears it.
     """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
-    """Documents whose doc_id is (or isn't) in ``ids``; null is an id like any other. Rows that repeat an id share its fate."""
-    ids = ids.select(F.col("doc_id").alias("_listed_id")).distinct()
-    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_listed_id"]), "left_semi" if keep else "left_anti")
-    return rows.select(docs.columns)
+def text_key(text: Column) -> Column:
+    """With the id, it tells rows apart. Null is the empty text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, key: Column, repeated: DataFrame | None = None) -> DataFrame:
+    """Documents but for those whose (doc_id, ``key``) is among ``dropped`` (doc_id, text_key); null is an id like any other.
+
+    Of rows that share a pair in ``repeated`` (doc_id, text_key) one stays, the one whose columns hash least. Both are tables on disk:
+    Spark broadcasts them where their size allows it and else joins by key, and adaptive execution splits a frequent pair.
+    """
+
+    def join(rows: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+        listed = listed.select(F.col("doc_id").alias("_listed_id"), F.col("text_key").alias("_listed_key"))
+        return rows.join(listed, (key == listed["_listed_key"]) & rows["doc_id"].eqNullSafe(listed["_listed_id"]), how).select(rows.columns)
+
+    out = join(docs, dropped, "left_anti")
+    if repeated is None or repeated.isEmpty():
+        return out
+    once = join(docs, repeated, "left_semi").groupBy(F.col("doc_id").alias("_id"), key.alias("_key"))
+    once = once.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    return join(out, repeated, "left_anti").unionByName(once)
 
 
 def through_python(rows: DataFrame, run, rest: str, ids: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -57,5 +87,5 @@ def through_python(rows: DataFrame, run, rest: str, ids: tuple[str, ...] = ("id"
 
 
 def bucket(id_col: Column, n: int) -> Column:
-    """crc32 of the id as text, modulo n: the split into training and held-out rows."""
-    return F.crc32(id_col.cast("string").cast("binary")) % n
+    """crc32 of the id as text, modulo n: the split into training and held-out rows. 0 for null."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % n, F.lit(0))

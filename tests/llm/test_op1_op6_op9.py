@@ -9,7 +9,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tapeline.llm import exact_dedup as ed
-from tapeline.llm import licenses, simhash
+from tapeline.llm import licenses, near_copies, simhash, toxicity
+from tapeline.llm.common import text_key
 
 from .conftest import EDGE
 
@@ -66,7 +67,8 @@ def test_exact_dedup(docs, keep):
     for r in got:
         t = next(t for t in groups if hashlib.sha256(t.encode()).hexdigest() == r.text_sha256 and r.doc_id in groups[t])
         best = pick([i for i in groups[t] if i is not None], default=None)
-        assert (r.keep_id, r.group_size, r.kept) == (best, len(groups[t]), r.doc_id == best)
+        assert (r.keep_id, r.group_size) == (best, len(groups[t])) and (not r.kept or r.doc_id == best)
+    assert sum(r.kept for r in got) == len(groups)
     assert ed.exact_dedup(docs([])).count() == 0
 
 
@@ -184,9 +186,10 @@ def planted(words, want, rng):
     return " ".join(now)
 
 
-@pytest.mark.parametrize("few", [32, 3])
-def test_stage_finds_copies_of_similarity_at_least_0_8(spark, docs, monkeypatch, few):
-    monkeypatch.setattr(simhash, "FEW", few)  # with 3, most shingles of a group are paired with one set first
+@pytest.mark.parametrize("few, sample", [(32, 5000), (3, 5000), (3, 0)])
+def test_stage_finds_copies_of_similarity_at_least_0_8(spark, docs, monkeypatch, few, sample):
+    monkeypatch.setattr(near_copies, "FEW", few)  # with 3, most shingles of a group are paired with one set first
+    monkeypatch.setattr(near_copies, "SAMPLE", sample)  # with 0, no shingle is known to be common
     rng = random.Random(11)
     passage = [f"common{k}" for k in range(60)]
     rows, by_share = {}, {}
@@ -205,14 +208,41 @@ def test_stage_finds_copies_of_similarity_at_least_0_8(spark, docs, monkeypatch,
     rows |= {9001: "a b c", 9002: "A  b\tc", 9003: "", 9004: None, 9005: "a b d"}
     assert all(s >= 0.8 or i % 100 == 5 for i, s in by_share.items())
     want = similar_roots(rows)
-    got = simhash.similar_groups(docs(list(rows.items()))).collect()
+    got = near_copies.similar_groups(docs(list(rows.items()))).collect()
     assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(rows)
-    kept = {r.doc_id for r in simhash.near_dedup_stage(spark, docs(list(rows.items())), "").collect()}
+    kept = {r.doc_id for r in near_copies.near_dedup_stage(spark, docs(list(rows.items())), "").collect()}
     assert kept == set(want.values()) and not kept & {100 * k + j for k in range(12) for j in (1, 2, 3, 4)}
 
 
 def test_stage_on_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = similar_roots({r.doc_id: r.text for r in df.collect()})
-    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == want
-    assert simhash.similar_groups(df.limit(0)).count() == 0
+    assert {r.doc_id: r.component_id for r in near_copies.similar_groups(df).collect()} == want
+    assert near_copies.similar_groups(df.limit(0)).count() == 0
+
+
+ROWS = [(1, "same text"), (2, "same text"), (2, "other words here"), (3, "rep"), (3, "rep"), (None, "same text"), (None, "null twice"), (None, "null twice"), (None, None), (4, ""), (5, "Same Text")]
+
+
+def left(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+def test_stages_leave_exactly_one_row_of_a_group(spark, docs):
+    want = {(1, "same text"), (2, "other words here"), (3, "rep"), (None, "null twice"), (4, "")}
+    for stage in (ed.exact_dedup_stage, near_copies.near_dedup_stage):
+        for rows in (ROWS, ROWS[::-1] * 2):
+            got = left(stage(spark, docs(rows).repartition(3), ""))
+            assert set(got) == want and len(got) == len(want), stage
+    more = [(7, "alpha beta gamma delta eps zeta"), (7, "ALPHA beta gamma delta eps  zeta"), (6, "x"), (6, "x"), (6, "y")]
+    assert left(near_copies.near_dedup_stage(spark, docs(more), "")) in ([(6, "x"), (6, "y"), more[0]], [(6, "x"), (6, "y"), more[1]])
+    for stage in (ed.exact_dedup_stage, near_copies.near_dedup_stage):
+        assert stage(spark, docs([]), "").count() == 0
+
+
+def test_rows_are_judged_by_their_own_text(spark, docs, tmp_path, monkeypatch):
+    marked = lambda df, labels: df.select("doc_id", F.lit(0.9).alias("score"), F.coalesce(F.col("text"), F.lit("")).contains("bad").cast("int").alias("predicted"), text_key(F.col("text")).alias("text_key"))
+    monkeypatch.setattr(toxicity, "score_toxicity", marked)
+    spark.createDataFrame([(1, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(None, "bad"), (None, "clean"), (None, None), (1, "bad"), (1, "clean"), (1, "clean")]
+    assert left(toxicity.toxicity_stage(spark, docs(rows), str(tmp_path))) == sorted([(None, "clean"), (None, None), (1, "clean"), (1, "clean")], key=repr)
