@@ -12,16 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, documents, through_python, with_ids, written
+from .common import bucket, discard, documents, text_key, through_python, without_rows, written
 
-#: Most labelled rows of each class that lexicon and classifier are fitted on.
+#: Most texts with a vote, and as many without one, that the classifier is fitted on.
 SAMPLE = 30_000
-#: Lexicon: share of toxic texts among those with a token; expected number of tokens that chance puts in; most tokens; letters of a beginning.
-PRECISION, CHANCE, LEXICON, BEGINNING = 0.9, 0.01, 4096, 5
+#: Lexicon: share of toxic texts among those with a token; expected number of tokens that chance puts in; letters of a beginning.
+PRECISION, CHANCE, BEGINNING = 0.9, 0.01, 5
 STRIPES = 10  # voters that the words are dealt to, and as many for beginnings
 THRESHOLD = 0.7
-#: How much more the labelled rates weigh in each round than the rates that the model itself finds.
-ANCHOR = 4.0
 WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 # Common insults of four languages.
@@ -54,45 +52,39 @@ def tokens_column():
     return F.concat(w, F.array_distinct(F.transform(long, lambda x: F.concat(F.substring(x, 1, BEGINNING), F.lit("*")))))
 
 
-def sample_labels(labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
-    """(doc_id, toxic) of at most ``per_class`` training rows of each class, in the order of a hash; conflicting labels count as toxic.
-
-    Rows whose crc32 of doc_id mod 3 is 1 are held out.
-    """
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the rows to learn from, one each; conflicting labels count as toxic. Rows whose crc32 of doc_id mod 3 is 1 are held out."""
     rows = labels.filter("doc_id is not null and toxic is not null").filter(bucket(F.col("doc_id"), 3) != 1)
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def pick(k: int) -> DataFrame:
-        share = min(1.0, 1.2 * per_class / max(1, sizes.get(k, 0)))  # all but a few of the rows that the limit drops never reach its sort
-        return rows.filter((F.col("toxic") == k) & (F.col("_h") < int(share * (1 << 30)))).orderBy("_h", "doc_id").limit(per_class).drop("_h")
+    return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
-    return pick(0).unionByName(pick(1))
 
+def learn_lexicon(labelled: DataFrame) -> list[str]:
+    """Tokens that stand in toxic texts far more often than chance lets expect; labelled: (toxic, text), all of them counted.
 
-def learn_lexicon(sample: DataFrame, clean_weight: float = 1.0) -> list[str]:
-    """Tokens that stand in toxic texts far more often than chance lets expect; sample: (toxic, text).
-
-    Texts whose smallest word hash is equal count once, so that near copies of a text don't make its words toxic. A token needs at
-    least ``PRECISION`` of its texts toxic, and evidence (count times divergence from the base rate) that leaves ``CHANCE`` tokens
-    expected by chance among all tokens, so the bar rises with the vocabulary.
+    Texts whose two smallest word hashes are equal count once, so that near copies of a text don't make its words toxic. A token needs
+    at least ``PRECISION`` of its texts toxic, and evidence (count times divergence from the base rate) that leaves ``CHANCE`` tokens
+    expected by chance among all tokens, so the bar rises with the vocabulary. Every token above the bar is taken.
     """
-    rows = sample.filter("text is not null").select("toxic", tokens_column().alias("tokens"))
-    rows = written(rows.withColumn("sig", F.array_min(F.transform("tokens", lambda x: F.xxhash64(x)))), "toxic-sample")
+    rows = labelled.filter("text is not null").select("toxic", tokens_column().alias("tokens"))
+    hashes = F.array_sort(F.transform("tokens", lambda x: F.xxhash64(x)))
+    rows = written(rows.withColumn("sig", F.xxhash64(F.slice(hashes, 1, 2))), "toxic-labelled")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.countDistinct("sig").alias("n")).collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0) * clean_weight
+    bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
+        discard(rows)
         return []
     each = lambda k: rows.filter(F.col("toxic") == k).select("sig", F.explode("tokens").alias("token")).distinct()
     found = written(each(1).groupBy("token").agg(F.count(F.lit(1)).alias("k")), "toxic-tokens")
     many = found.filter("k >= 4")
     clean = each(0).join(many, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    both = many.join(clean, "token", "left").withColumn("n", F.col("k") + F.coalesce("c", F.lit(0)) * clean_weight)
+    both = many.join(clean, "token", "left").withColumn("n", F.col("k") + F.coalesce("c", F.lit(0)))
     base, need = bad / (bad + good), math.log(max(found.count(), 1) / CHANCE)
     q = F.col("k") / F.col("n")
     gain = F.col("k") * F.log(q / base) + F.when(q < 1, (F.col("n") - F.col("k")) * F.log((1 - q) / (1 - base))).otherwise(0.0)
-    best = both.filter((F.col("k") / (F.col("n") + 0.1) >= PRECISION) & (gain >= need)).orderBy(F.desc(gain), "token").limit(LEXICON)
-    return [r["token"] for r in best.select("token").collect()]
+    best = both.filter((F.col("k") / (F.col("n") + 0.1) >= PRECISION) & (gain >= need))
+    out = sorted(r["token"] for r in best.select("token").collect())
+    discard(rows, found)
+    return out
 
 
 class Voters:
@@ -123,16 +115,16 @@ class Voters:
 
 
 def vote(df: DataFrame, lexicon: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, votes (a bit for each voter), hits, begins, words of every row; null is an empty text."""
+    """id, text_key, votes (a bit for each voter), hits, begins, words of every row; null is an empty text."""
     voters = Voters(lexicon)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             got = [voters(t or "") for t in f["t"]]
-            yield pd.concat([f[["id"]].reset_index(drop=True), pd.DataFrame(got, columns=["votes", "hits", "begins", "words"], dtype=np.int64)], axis=1)
+            yield pd.concat([f[["id", "text_key"]].reset_index(drop=True), pd.DataFrame(got, columns=["votes", "hits", "begins", "words"], dtype=np.int64)], axis=1)
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return through_python(rows, run, "votes bigint, hits bigint, begins bigint, words bigint")
+    rows = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("t"))
+    return through_python(rows, run, "text_key bigint, votes bigint, hits bigint, begins bigint, words bigint")
 
 
 def unpack(votes: np.ndarray) -> np.ndarray:
@@ -161,14 +153,14 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit_label_model(votes: DataFrame, labelled: DataFrame, rounds: int = 6) -> LabelModel:
+def fit_label_model(votes: DataFrame, labelled: DataFrame, rounds: int = 20) -> LabelModel:
     """Expectation maximisation over the votes of all texts (column ``votes``), grouped by pattern, each round one aggregation.
 
-    It starts from the rates in ``labelled`` (votes, toxic), a bounded sample, and stays anchored to them, lest texts with one vote
-    end up in the wrong class and keep it there. In each round the posterior of every pattern gives
-    the voters' rates in either class and, from the pairs' joint rates among toxic texts, their correlations there. A voter's
-    weight is one over one plus its positive correlations with those that vote too, so voters that repeat each other count once.
-    Voters that vote more often on clean than on toxic texts have weight 0.
+    Accuracies, correlations and the share of toxic texts come from the votes alone; the rates in ``labelled`` (votes, toxic) only
+    start it, and so name the classes. In each round the posterior of every pattern gives the voters' rates in either class and,
+    from the pairs' joint rates among toxic texts, their correlations there. A voter's weight is one over one plus its positive
+    correlations with those that vote too, so voters that repeat each other count once. Voters that vote more often on clean than on
+    toxic texts have weight 0. It ends when no rate moves by over a thousandth of itself.
     """
     m = N_VOTERS
     at = labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.expr(f"shiftright(votes, {j}) & 1")).alias(f"s{j}") for j in range(m)))
@@ -176,7 +168,6 @@ def fit_label_model(votes: DataFrame, labelled: DataFrame, rounds: int = 6) -> L
     if 0 not in rates or 1 not in rates:
         return LabelModel(0.01, np.full(m, 0.01), np.full(m, 0.01))
     (toxic, n1), (clean, n0) = rates[1], rates[0]
-    known_toxic, known_clean = toxic, clean
     model = LabelModel(n1 / (n1 + n0), toxic, clean)
     patterns = written(votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "patterns")
     upper = [(i, j) for i in range(m) for j in range(i, m)]
@@ -200,17 +191,23 @@ def fit_label_model(votes: DataFrame, labelled: DataFrame, rounds: int = 6) -> L
         both = np.zeros((m, m))
         for (i, j), value in zip(upper, x[2 + m :], strict=True):
             both[i, j] = both[j, i] = value
-        one = max(x[1], 1e-9)
-        toxic = ((both.diagonal() + 0.1) / (one + 1) + ANCHOR * known_toxic) / (1 + ANCHOR)
-        clean = ((x[2 : 2 + m] - both.diagonal() + 0.1) / (x[0] - one + 1) + ANCHOR * known_clean) / (1 + ANCHOR)
-        mean = both.diagonal() / one
-        sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
-        corr = (both / one - np.outer(mean, mean)) / np.outer(sd, sd)
-        np.fill_diagonal(corr, 0)
-        model = LabelModel(x[1] / x[0], toxic, clean, np.maximum(corr, 0))
+        last, model = model, model_of(x[0], x[1], x[2 : 2 + m], both)
+        if np.allclose(last.toxic, model.toxic, rtol=1e-3, atol=1e-6) and np.allclose(last.clean, model.clean, rtol=1e-3, atol=1e-6):
+            break
+    discard(patterns)
     return model
 
 
+def model_of(n: float, toxic: float, each: np.ndarray, both: np.ndarray) -> LabelModel:
+    """The model of n texts, of which ``toxic`` are expected to be toxic: each voter's votes, and the pairs' votes on toxic ones."""
+    one = max(toxic, 1e-9)
+    mean = both.diagonal() / one
+    sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
+    corr = (both / one - np.outer(mean, mean)) / np.outer(sd, sd)
+    np.fill_diagonal(corr, 0)
+    return LabelModel(toxic / n, (both.diagonal() + 0.1) / (one + 1), (each - both.diagonal() + 0.1) / (n - one + 1), np.maximum(corr, 0))
+
+
 def features(f: pd.DataFrame) -> np.ndarray:
     """Votes and amounts, one row a text."""
     words = np.maximum(f["words"].to_numpy(float), 1)
@@ -237,33 +234,43 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int =
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE) -> DataFrame:
-    """id, score (0 to 1), predicted (score >= 0.7) of every row, from its text alone.
+def sample_texts(votes: DataFrame, size: int) -> pd.DataFrame:
+    """At most ``size`` rows with a vote and as many without one, in the order of a hash of the text; equal rows are there once."""
+    rows = votes.select("text_key", "votes", "hits", "begins", "words").withColumn("_h", F.pmod("text_key", F.lit(1 << 30)))
+    n = votes.agg(F.count(F.when(F.col("votes") != 0, 1)).alias("some"), F.count(F.when(F.col("votes") == 0, 1)).alias("none")).first()
+
+    def pick(k: int, cond) -> DataFrame:
+        share = min(1.0, 1.2 * size / max(1, k))  # all but a few of the rows that the limit drops never reach its sort
+        return rows.filter(cond & (F.col("_h") < int(share * (1 << 30)))).distinct().orderBy("_h", "text_key").limit(size)
+
+    return pick(n["some"], F.col("votes") != 0).unionByName(pick(n["none"], F.col("votes") == 0)).drop("_h").toPandas()
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """id, score (0 to 1), predicted (score >= 0.7), text_key of every row, from its text alone.
 
     Null and empty texts are scored like any text without a vote. Without labels of both classes every score is 0. Rows that repeat
-    have equal scores. Other columns are ignored.
+    have equal scores. If an id has several texts, its label counts for each of them. Other columns are ignored.
 
-    Scale: lexicon and classifier are fitted on at most ``per_class`` labelled rows of either class, joined by broadcast; the label
-    model's counts cover all texts. Every text is read once for its votes; what follows reads a table of numbers.
+    Scale: the lexicon's counts cover all labelled texts and the label model's all texts; the classifier is fitted on the posteriors of
+    at most ``sample`` texts with votes and as many without. Every text is read once for its votes; what follows reads a table of numbers.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    train = written(sample_labels(labels, per_class), "label-sample")
-    sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    clean = labels.filter("toxic = 0").filter(bucket(F.col("doc_id"), 3) != 1).count()
-    known = F.broadcast(train)
-    lexicon = learn_lexicon(rows.join(known, "doc_id").select("toxic", "text"), max(1.0, clean / max(1, sizes.get(0, 0))))
+    train = written(training_labels(labels), "toxic-labels")
+    lexicon = learn_lexicon(rows.join(train, "doc_id").select("toxic", "text"))
     votes = written(vote(rows, lexicon, "doc_id"), "votes")
-    labelled = written(votes.join(F.broadcast(train.withColumnRenamed("doc_id", "id")), "id").dropDuplicates(["id"]), "labelled-votes")
+    labelled = votes.select("votes", F.col("id").alias("doc_id")).join(train, "doc_id")
+    classes = train.select("toxic").distinct().count()
     model = fit_label_model(votes, labelled)
-    known_votes = labelled.drop("id").toPandas()
-    w = fit_linear(features(known_votes), model.posterior(known_votes["votes"].to_numpy(np.int64))) if len(sizes) == 2 and len(known_votes) else None
+    known = sample_texts(votes, sample)
+    w = fit_linear(features(known), model.posterior(known["votes"].to_numpy(np.int64))) if classes == 2 and len(known) else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             score = np.zeros(len(f)) if w is None else 1 / (1 + np.exp(-np.clip(features(f) @ w, -30, 30)))
-            yield pd.DataFrame({"id": f["id"].array, "score": score, "predicted": (score >= THRESHOLD).astype(np.int32)})
+            yield pd.DataFrame({"id": f["id"].array, "text_key": f["text_key"], "score": score, "predicted": (score >= THRESHOLD).astype(np.int32)})
 
-    return through_python(votes, run, "score double, predicted int").withColumnRenamed("id", id_col)
+    return through_python(votes, run, "text_key bigint, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,5 +279,6 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents but for those predicted toxic."""
-    return with_ids(docs, score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 1"), keep=False)
+    """Documents but for those predicted toxic. Each row is judged by its own text: rows without an id or with another's id stay if clean."""
+    bad = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 1")
+    return without_rows(docs, written(bad.select("doc_id", "text_key"), "toxic-rows"), text_key(F.col("text")))
