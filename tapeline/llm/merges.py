@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +22,16 @@ DROPOUT, SEED = 0.1, 42
 #: Characters whose agendas run side by side.
 CHARS = 150_000
 LATE = np.int64((1 << 31) - 1)  # order of a pair that doesn't merge
+#: Words of more characters have a heap of their own instead of a place in the vectors.
+LONG = 512
+WORD64 = (1 << 64) - 1
+
+
+def mix_int(x: int) -> int:
+    """``mix`` of one integer."""
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & WORD64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & WORD64
+    return x ^ (x >> 31)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,6 +88,7 @@ class Vocabulary:
             placed = self.keys[at] == left
             self.values[at[placed]] = value[placed]
             left, value, at = left[~placed], value[~placed], (at[~placed] + 1) & (1 << self.bits) - 1
+        self.pairs = pairs
         self.breaks_after_space = not any(SPACE in p.lstrip(SPACE) for p in usable)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -129,8 +141,18 @@ def encode(texts: list[str], keys: np.ndarray, vocab: Vocabulary, dropout: float
 
     # symbols of all unfinished words: piece, place in the batch, whether it ends its word, and the order of the merge with the next
     s, at = sym.copy(), np.arange(len(codes))
-    end = np.append(starts[1:], True) if len(codes) else np.empty(0, bool)
     first = np.flatnonzero(starts) if len(codes) else np.empty(0, np.int64)
+    for w in np.flatnonzero(np.diff(np.append(first, len(codes))) > LONG):
+        a = int(first[w])
+        b = int(first[w + 1]) if w + 1 < len(first) else len(codes)
+        where, got = merge_word(vocab, s[a:b].tolist(), int(place[a]), int(key[text[a]]), int(limit) if dropout > 0 else 0)
+        done_place.append(a + where)
+        done_sym.append(got)
+    if done_place:
+        short = np.repeat(np.diff(np.append(first, len(codes))) <= LONG, np.diff(np.append(first, len(codes))))
+        s, at, starts = s[short], at[short], starts[short]
+    end = np.append(starts[1:], True) if len(s) else np.empty(0, bool)
+    first = np.flatnonzero(starts) if len(s) else np.empty(0, np.int64)
     turn = next_merge(vocab, s, np.arange(len(s)), end)
     while len(s):
         best = np.minimum.reduceat(turn << 32 | np.arange(len(s)), first)  # the smallest rank of each word, then the leftmost
@@ -176,6 +198,45 @@ def encode(texts: list[str], keys: np.ndarray, vocab: Vocabulary, dropout: float
     return out, np.bincount(text[place_all], counts, len(texts)).astype(np.int64) if len(texts) else np.empty(0, np.int64)
 
 
+def merge_word(vocab: Vocabulary, s: list[int], begin: int, key: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, pieces) of one word's agenda, as a heap of (order, place): time grows with its length times the logarithm of it."""
+    n, pairs, order = len(s), vocab.pairs, vocab.order.tolist()
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+    def rank(i: int, j: int) -> int:
+        made = pairs.get(s[i] << 32 | s[j], -1) if s[i] >= 0 and s[j] >= 0 else -1
+        return order[made] if made >= 0 else -1
+
+    turn = [rank(i, i + 1) for i in range(n - 1)] + [-1]
+    heap = [t << 32 | i for i, t in enumerate(turn) if t >= 0]
+    heapq.heapify(heap)
+    names = vocab.by_rank.tolist()
+    while heap:
+        top = heapq.heappop(heap)
+        i, t = top & 0xFFFFFFFF, top >> 32
+        if turn[i] != t:  # its pair is another one by now
+            continue
+        new = names[t]
+        if limit and mix_int((key + mix_int((begin + i) << 20 ^ new)) & WORD64) < limit:
+            turn[i] = -1
+            continue
+        j = after[i]
+        s[i], s[j], turn[j] = new, -2, -1
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+        for a, b in ((before[i], i), (i, k)):
+            if a >= 0 and b < n:
+                turn[a] = r = rank(a, b)
+                if r >= 0:
+                    heapq.heappush(heap, r << 32 | a)
+            elif a >= 0:
+                turn[a] = -1
+    got = np.array(s, np.int64)
+    where = np.flatnonzero(got != -2)
+    return where, got[where]
+
+
 def next_merge(vocab: Vocabulary, s: np.ndarray, i: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The order of what the symbols at ``i`` and the next ones of their words merge to; LATE if they don't."""
     out = np.full(len(i), LATE)
@@ -221,7 +282,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def decode_documents(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
-    """id, ids' count, crc32 of the ids (little-endian unsigned 32-bit), text."""
+    """id, ids' count, crc32 of the ids (little-endian unsigned 32-bit), text. No ids give an empty text; rows map to rows one by one."""
     path = model or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

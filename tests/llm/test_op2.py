@@ -1,6 +1,7 @@
 """Merge-dropout against an agenda per text, the model's own encoder, and exact round trips."""
 
 import heapq
+import time
 
 import numpy as np
 import public_tokenizers
@@ -88,3 +89,24 @@ def test_documents_round_trip(spark, docs):
     assert merges.encode_documents(docs([])).count() == 0
     other = {r.doc_id: r.ids for r in merges.encode_documents(docs(rows), seed=1).collect()}
     assert any(other[r.doc_id] != r.ids for r in enc.collect())
+
+
+def test_long_words_have_the_agenda_of_short_ones(monkeypatch):
+    vocab = merges.vocabulary(PATH)
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("theinrsa日 "[:10]), 700)).replace(" ", "x"), "a" * 600 + " " + "b" * 5, "é" * 520 + "😀" * 10 + "z" * 30, "short words only", "ab" * 400 + " ▁ " + "x" * 513]
+    keys = np.arange(len(texts), dtype=np.uint64) + np.uint64(77)
+    for dropout in (0.0, 0.1, 0.5):
+        got = merges.encode(texts, keys, vocab, dropout)
+        monkeypatch.setattr(merges, "LONG", 10**9)
+        want = merges.encode(texts, keys, vocab, dropout)
+        monkeypatch.setattr(merges, "LONG", 512)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_a_word_of_a_megabyte_is_encoded_in_seconds():
+    vocab = merges.vocabulary(PATH)
+    word = "".join(np.random.default_rng(1).choice(list("ABCDEFGHabcdefgh0123456789+/"), 1_000_000))
+    began = time.process_time()
+    ids, counts = merges.encode([word], np.array([5], np.uint64), vocab)
+    assert time.process_time() - began < 30 and counts[0] == len(ids) and merges.decode(ids, vocab) == word
