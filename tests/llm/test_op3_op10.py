@@ -22,23 +22,38 @@ def pages(spark, rows):
 
 
 def test_archives_come_back(spark):
-    rows = [(1, None), (2, ""), (3, LONG), (5, LONG), (4, LONG), (9, "y" * 99), (8, "y" * 99), (7, "z" * 100), (6, "z" * 100), (10, LONG + "!"), (10, LONG + "!"), (None, "n" * 200)]
+    rows = [(1, None), (2, ""), (3, LONG), (5, LONG), (4, LONG), (9, "y" * 99), (8, "y" * 99), (7, "z" * 100), (6, "z" * 100), (10, LONG + "!"), (10, LONG + "!"), (None, "n" * 200), (None, "n" * 200), (None, LONG), (None, None), (11, "q" * 120), (11, "q" * 120), (12, "q" * 120)]
     warc.write_warc(pages(spark, rows), path := shared_dir(spark, "warc"))
-    got = {(r.id.split(":")[2], r.id.split(":")[3]): r for r in warc.read_warc(spark, path).collect()}
+    got = {}
+    for r in warc.read_warc(spark, path).collect():
+        got.setdefault((r.page, r.digest.removeprefix("sha256:")), []).append(r)
+    assert sum(map(len, got.values())) == len(rows) and len({r.id for x in got.values() for r in x}) == len(rows)
     for i, h in rows:
         body = (h or "").encode()
-        if i is None:
-            continue
-        r = got[str(i), hashlib.sha256(body).hexdigest()]
-        origin = min(j for j, g in rows if j is not None and (g or "").encode() == body)
-        if len(body) >= 100 and origin != i:
-            assert r.record_type == "revisit" and r.payload is None and r.refers_to.split(":")[2] == str(origin)
-        else:
-            assert r.record_type == "response" and bytes(r.payload) == body
+        found = got[None if i is None else str(i), hashlib.sha256(body).hexdigest()]
+        assert len(found) == rows.count((i, h))
+        origin = min((j for j, g in rows if j is not None and (g or "").encode() == body), default=None)
+        for r in found:
+            if len(body) >= 100 and origin is not None and origin != i:
+                assert r.record_type == "revisit" and r.payload is None and r.refers_to == str(origin)
+            else:
+                assert r.record_type == "response" and bytes(r.payload) == body
     raw = b"".join(gzip.open(f).read() for f in glob.glob(path + "/*.gz"))
     assert raw.count(b"WARC-Type: continuation") >= 3 and raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and raw.endswith(b"\r\n\r\n")
 
 
+def test_pages_with_edges(spark):
+    rows = [(1, None), (2, "a" * 150), (2, "a" * 150), (3, "a" * 150), (3, "a" * 150), (None, "a" * 150), (None, "b" * 150), (None, "b" * 150), (4, "short"), (4, "short"), (2**60 + 1, LONG * 3)]
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archived_pages(spark, pages(spark, rows)).collect()), key=repr)
+    want = []
+    for i, h in rows:
+        raw = (h or "").encode()
+        origin = min((j for j, g in rows if j is not None and g == h), default=None)
+        again = len(raw) >= 100 and origin is not None and origin != i
+        want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", origin if again else None))
+    assert got == sorted(want, key=repr)
+
+
 def test_lost_segment_is_noticed(spark):
     warc.write_warc(pages(spark, [(1, LONG)]), path := shared_dir(spark, "warc"))
     raw = b"".join(gzip.open(f).read() for f in sorted(glob.glob(path + "/*.gz")))
@@ -103,3 +118,6 @@ def test_media_query(spark, docs):
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
         assert same.setdefault(raw, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature) and "cc_errors=0" in r.feature
     assert media.stream_features(media.text_media(docs([])), ["doc_id", "n_bytes"]).count() == 0
+    at = media.timestamps(media.text_media(docs([(1, "x" * 50_000), (None, None)]))).orderBy("doc_id", "unit").collect()
+    assert [(r.doc_id, r.unit, r.pts, r.random_access) for r in at] == [(None, 0, 0, True), *((1, k, k * media.UNIT * 90_000 // media.RATE, k % media.RAP_EVERY == 0) for k in range(7))]
+    assert media.timestamps(media.text_media(docs([]))).count() == 0
