@@ -86,13 +86,14 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     """conv_id, rendered, loss_start, loss_end: a string for each turn, in order within a conversation; the conversation is their
     concatenation. The span (else null) is the part of the string under the loss mask: an assistant's text, still escaped.
 
-    Rows are ordered by turn (null first), then role and text; rows that repeat are turns of their own. Null roles and texts are
-    empty. Other columns are ignored.
+    Rows are ordered by turn (null first), then role and the text's SHA-256; rows that repeat are turns of their own. Null roles and
+    texts are empty. Other columns are ignored.
 
-    Scale: one shuffle by conversation, sorted. Rows are streamed, so a conversation of any length needs the memory of a batch.
+    Scale: turns are formatted where they lie; then one shuffle by conversation, sorted. A conversation of any length needs the memory
+    of a batch, and only its digest goes turn by turn.
     """
     rows = df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = rows.withColumn("key", F.unhex(F.sha2("text", 256)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -100,10 +101,10 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
             mask = f["role"].to_numpy() == LEARNED
             got = pd.DataFrame(out, columns=["rendered", "loss_start", "loss_end"])
             got[["loss_start", "loss_end"]] = got[["loss_start", "loss_end"]].astype("Int64").where(pd.Series(mask), pd.NA)
-            got.insert(0, "conv_id", f["conv_id"].array)
-            yield got
+            yield pd.concat([f[["conv_id", "turn", "role", "key"]].reset_index(drop=True), got], axis=1)
 
-    return through_python(rows.select("conv_id", "role", "text"), run, "rendered string, loss_start bigint, loss_end bigint", ("conv_id",))
+    made = through_python(rows, run, "role string, key binary, rendered string, loss_start bigint, loss_end bigint", ("conv_id", "turn"))
+    return made.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "key").select("conv_id", "rendered", "loss_start", "loss_end")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -158,8 +159,8 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 f AS (SELECT *, length(text) + len(regexp_extract_all(text, '{_PATTERN}')) + CASE role WHEN 'system' THEN {len("".join(TURNS["system"]))} WHEN 'user' THEN {len("".join(TURNS["user"]))}
   WHEN 'assistant' THEN {len("".join(TURNS["assistant"]))} ELSE {len("".join(OTHER))} + length(role) + len(regexp_extract_all(role, '{_PATTERN}')) END AS size FROM c)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, sha256(text))) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, sha256(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id
 """
