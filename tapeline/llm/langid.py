@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucket, documents, written
+from .common import bucket, documents
 
 #: n-grams of a profile; their longest length.
 PROFILE, LONGEST = 300, 3
 #: Sharpness of the score: how fast a language's weight falls with its distance.
 SHARPNESS = 40.0
-#: Symbols for what isn't a letter; characters of texts that are counted at once.
-EDGE, CHARS = 1, 1_000_000
+#: Symbols for what isn't a letter; characters of texts that are counted at once; distances that are held at once.
+EDGE, CHARS, CELLS = 1, 1_000_000, 4_000_000
 UND = "und"
 #: A document is rejected when no language's profile is nearer than this share of the largest distance.
 FAR = 0.97
@@ -80,11 +80,11 @@ def gram_counts(texts: list[str], owners: np.ndarray) -> tuple[np.ndarray, np.nd
     return found >> 3 * bits, gram, n
 
 
-def batches(frames: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
-    """Runs of rows with about CHARS characters of text and at most 1024 rows."""
+def batches(frames: Iterator[pd.DataFrame], column: str, most: int = 1024) -> Iterator[pd.DataFrame]:
+    """Runs of rows with about CHARS characters of text and at most ``most`` rows."""
     for frame in frames:
         size = frame[column].map(len).to_numpy()
-        part = np.cumsum(size) // CHARS + np.arange(len(size)) // 1024 * (1 << 32)
+        part = np.cumsum(size) // CHARS + np.arange(len(size)) // most * (1 << 32)
         for _, rows in frame.groupby(part, sort=False):
             yield rows
 
@@ -109,16 +109,21 @@ def learn_profiles(rows: DataFrame, size: int = PROFILE) -> DataFrame:
 
 
 class Profiles:
-    """Ranks of n-grams in every language's profile, as arrays. Bounded: ``size`` n-grams a language."""
+    """Ranks of n-grams in every language's profile: for each gram, the languages that have it and its rank there.
+
+    ``size`` entries a language, however many languages there are.
+    """
 
     def __init__(self, rows: list[tuple[str, int, int]], size: int = PROFILE) -> None:
         self.size = size
         self.langs = sorted({r[0] for r in rows})
-        self.grams = np.unique(np.array([r[1] for r in rows], np.int64))
-        self.ranks = np.full((len(self.grams) + 1, len(self.langs)), -1, np.int32)  # the last row: unknown to all
         at = {x: k for k, x in enumerate(self.langs)}
-        for lang, gram, rank in rows:
-            self.ranks[np.searchsorted(self.grams, gram), at[lang]] = rank
+        gram = np.array([r[1] for r in rows], np.int64)
+        order = np.argsort(gram, kind="stable")
+        self.grams, self.first = np.unique(gram[order], return_index=True)
+        self.first = np.append(self.first, len(rows))
+        self.lang = np.array([at[r[0]] for r in rows], np.int32)[order]
+        self.rank = np.array([r[2] for r in rows], np.int32)[order]
 
     def distances(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Out-of-place distance of each text to each language, as a share of the largest one; and whether it has a letter."""
@@ -126,16 +131,20 @@ class Profiles:
         order = np.lexsort((gram, -n, owner))
         owner, gram = owner[order], gram[order]
         begin = np.searchsorted(owner, np.arange(len(texts)))
-        rank = np.arange(len(owner)) - begin[owner]
-        top = rank < self.size
-        owner, gram, rank = owner[top], gram[top], rank[top]
-        at = np.searchsorted(self.grams, gram)
-        at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != gram)] = len(self.grams)
-        there = self.ranks[at]
-        off = np.where(there < 0, self.size, np.abs(there - rank[:, None]))
+        place = np.arange(len(owner)) - begin[owner]
+        top = place < self.size
+        owner, gram, place = owner[top], gram[top], place[top]
         size = np.bincount(owner, minlength=len(texts))
-        total = np.stack([np.bincount(owner, off[:, k], len(texts)) for k in range(off.shape[1])], axis=1)
-        return total / np.maximum(1, size * self.size)[:, None], size > 0
+        at = np.searchsorted(self.grams, gram).clip(max=max(0, len(self.grams) - 1))
+        known = self.grams[at] == gram if len(self.grams) else np.zeros(len(gram), bool)
+        owner, place, at = owner[known], place[known], at[known]
+        k = self.first[at + 1] - self.first[at]  # profiles that hold the gram
+        each = np.repeat(np.arange(len(at)), k)
+        entry = np.arange(len(each)) - np.repeat(np.cumsum(k) - k, k) + self.first[at][each]
+        saved = self.size - np.abs(self.rank[entry] - place[each])  # a gram that a profile lacks costs ``size``
+        cell = owner[each] * len(self.langs) + self.lang[entry]
+        total = np.bincount(cell, saved, len(texts) * len(self.langs)).reshape(len(texts), -1)
+        return (size[:, None] * self.size - total) / np.maximum(1, size * self.size)[:, None], size > 0
 
 
 def tagger(profiles: Profiles):
@@ -144,7 +153,7 @@ def tagger(profiles: Profiles):
     @F.pandas_udf("lang_pred string, score double, distance double")
     def tag(texts: pd.Series) -> pd.DataFrame:
         out = []
-        for part in batches(iter([texts.to_frame("t")]), "t"):
+        for part in batches(iter([texts.to_frame("t")]), "t", min(1024, max(1, CELLS // max(1, len(profiles.langs))))):
             pred, score, dist = np.full(len(part), UND, object), np.zeros(len(part)), np.ones(len(part))
             if profiles.langs:
                 d, letters = profiles.distances(part["t"].tolist())
@@ -170,14 +179,10 @@ def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col
 def fit(docs: DataFrame, id_col: str = "doc_id") -> Profiles:
     """Profiles of the languages in ``lang``, learned from the rows outside the held-out quarter (crc32 of the id mod 4 is 2).
 
-    A language's name isn't bounded by the data's size, but its profile is; more than 2000 names are refused.
+    Null texts and languages teach nothing. There may be any number of languages; the driver holds a profile of each.
     """
     rows = docs.filter((bucket(F.col(id_col), 4) != 2) | F.col(id_col).isNull()).filter("lang is not null and text is not null")
-    found = written(learn_profiles(rows), "profiles")
-    n = found.select("lang").distinct().count()
-    if n > 2000:
-        raise ValueError(f"{n} languages")
-    return Profiles([tuple(r) for r in found.select("lang", "gram", "rank").collect()])
+    return Profiles([tuple(r) for r in learn_profiles(rows).select("lang", "gram", "rank").collect()])
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +192,12 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents but for those that have no letter or resemble none of the learned languages."""
-    tag = tagger(fit(docs))(F.coalesce("text", F.lit("")))
+    """Documents but for those that have no letter (null and empty texts too) or resemble none of the learned languages.
+
+    Where no document names a language, nothing was learned and all documents with a letter stay. Ids play no part but in ``fit``.
+    """
+    profiles = fit(docs)
+    if not profiles.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    tag = tagger(profiles)(F.coalesce("text", F.lit("")))
     return docs.filter((tag["lang_pred"] != UND) & (tag["distance"] < FAR))  # row by row: nothing is shuffled
