@@ -182,14 +182,14 @@ def pack(df: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("id"
     """The rows of ``df`` (a table on disk with ``length``, from 1 to ``capacity``) with sequence_id and offset.
 
     The driver sees only how many pieces have each length. Pieces of a length are numbered within hashed buckets of about 8,000,
-    so no length, however common, is one task's; the number of buckets follows the number of rows. Each number has its place in
+    so no length, however common, is one task's; a length has as many buckets as its count asks for. Each number has its place in
     the plan, a list of some thousand runs that every task looks up. Rows that repeat are packed as often as they occur; an
     empty table gives an empty result.
     """
     counts = {int(r["length"]): r["n"] for r in df.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = np.array(plan(counts, capacity), np.int64).reshape(-1, 5)
-    buckets = -(-sum(counts.values()) // RANK_ROWS) or 1
-    rows = df.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    buckets = F.element_at(F.lit([-(-counts.get(n, 1) // RANK_ROWS) for n in range(1, capacity + 1)]), F.col("length").cast("int"))
+    rows = df.withColumn("bucket", F.pmod(F.xxhash64(*order), buckets))
     ranked = rows.withColumn("k", F.row_number().over(W.partitionBy("length", "bucket").orderBy(*order)) - 1)
     sizes = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")
@@ -218,4 +218,6 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of all documents. Null and empty texts are one end id; rows that repeat are packed as often as they occur; a null
+    id stays null; no documents give no pieces."""
     return pack_documents(docs)

@@ -15,7 +15,6 @@ from .conftest import EDGE
 def verify(rows, texts):
     """rows: as op7 returns them; texts: (doc_id, text) in any order."""
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = []
     for i, text in texts:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -45,7 +44,8 @@ def test_documents_are_packed_whole(spark):
 
 
 def test_edges(docs):
-    verify(packing.pack_documents(docs(EDGE)).collect(), EDGE)
+    rows = [*EDGE, (50, "one <|endoftext|> two<|endoftext|>"), (51, "<|endoftext|>"), (51, "<|endoftext|>")]
+    verify(packing.pack_documents(docs(rows)).collect(), rows)
     assert packing.pack_documents(docs([])).count() == 0
 
 
