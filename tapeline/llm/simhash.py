@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lower_ascii, written
+from .common import discard, documents, lower_ascii, written
 
 WORDS, BITS = 4, 4
-#: Parts of a fingerprint, in bits. Four differing bits leave two parts alike.
-PARTS = (11, 11, 11, 11, 10, 10)
+#: Parts of a fingerprint, in bits: four differing bits leave two of six parts alike, or four of eight. From LARGE fingerprints on the
+#: eight are taken, whose buckets have 32 bits instead of some 21.
+PARTS, FINE, LARGE = (11, 11, 11, 11, 10, 10), (8,) * 8, 1 << 31
 #: Fingerprints of a bucket that one task compares with as many; runs up to SHORT are compared row by row.
 CHUNK, SHORT = 4096, 16
 PIVOTS = 16
@@ -109,28 +110,41 @@ def spanning(fp: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray,
     return fp[np.concatenate(src)], fp[np.concatenate(dst)]
 
 
-def links(nodes: DataFrame, bits: int = BITS, pivots: np.ndarray | None = None, chunk: int = CHUNK) -> DataFrame:
+def with_pivots(nodes: DataFrame, pivots: np.ndarray | None = None) -> DataFrame:
+    """Adds the pivot distances of ``fp``, a byte each."""
+    pivots = reference_fingerprints() if pivots is None else pivots
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(batch.schema.get_field_index("fp")).to_numpy()
+            far = pa.array([row.tobytes() for row in pivot_table(fp, pivots)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, far], names=[*batch.schema.names, "pivots"])
+
+    return nodes.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema) + ", pivots binary")
+
+
+def links(nodes: DataFrame, bits: int = BITS, chunk: int = CHUNK, parts: tuple[int, ...] | None = None) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``fp`` whose components are those of all links within ``bits`` (at most 4).
 
-    Fingerprints that agree in two of six parts (20 to 22 bits) share a bucket; any link shares one. Inside buckets pairs are
-    discarded by pivot distances and the others verified. Instead of all links, each part of a bucket gives a forest that connects
+    ``nodes`` (a table) has fp and its pivot distances. Fingerprints that agree in as many parts as ``bits`` leave alike share a bucket;
+    any link shares one. Inside buckets pairs are discarded by pivot distances and the others verified. Instead of all links, each part of a bucket gives a forest that connects
     the same fingerprints, so a group of n near copies gives some n edges. A bucket of over ``chunk`` fingerprints is dealt to
     pairs of chunks, each a group of its own with at most about twice as many rows, so no task holds a whole large bucket.
     """
-    assert bits <= len(PARTS) - 2
-    pivots = reference_fingerprints() if pivots is None else pivots
-    at = np.cumsum((0, *PARTS))
-    masks = [sum(((1 << PARTS[p]) - 1) << int(at[p]) for p in both) for both in combinations(range(len(PARTS)), 2)]
+    parts = parts or (PARTS if nodes.count() < LARGE else FINE)
+    assert bits < len(parts) and sum(parts) == 64
+    at = np.cumsum((0, *parts))
+    masks = [sum(((1 << parts[p]) - 1) << int(at[p]) for p in alike) for alike in combinations(range(len(parts)), len(parts) - bits)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     key = F.explode(F.array(*(F.struct(F.lit(i).cast("byte").alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks))))
-    keyed = nodes.select("fp", key.alias("key")).select("fp", "key.*")
+    keyed = nodes.select("fp", "pivots", key.alias("key")).select("fp", "pivots", "key.*")
     shared = keyed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     rows = keyed.join(shared, ["band", "part"]).withColumn("c", F.pmod(F.xxhash64("fp"), chunks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), chunks - 1))
-    rows = rows.select("fp", "band", "part", "c", other.alias("o")).withColumns({"lo": F.least("c", "o"), "hi": F.greatest("c", "o")})
+    rows = rows.select("fp", "pivots", "band", "part", "c", other.alias("o")).withColumns({"lo": F.least("c", "o"), "hi": F.greatest("c", "o")})
     group = ["band", "part", "lo", "hi"]
-    rows = rows.select(*group, "fp").repartition(*group).sortWithinPartitions(*group, "fp")
+    rows = rows.select(*group, "fp", "pivots").repartition(*group).sortWithinPartitions(*group, "fp")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -140,13 +154,14 @@ def links(nodes: DataFrame, bits: int = BITS, pivots: np.ndarray | None = None,
             starts = np.flatnonzero(np.concatenate([[True], ~same]))
             rest = frame.iloc[starts[-1] :]
             if starts[-1]:
-                yield edges(frame["fp"].to_numpy(np.int64)[: starts[-1]], starts)
+                yield edges(frame.iloc[: starts[-1]], starts)
         if rest is not None and len(rest):
-            yield edges(rest["fp"].to_numpy(np.int64), np.array([0, len(rest)]))
+            yield edges(rest, np.array([0, len(rest)]))
 
-    def edges(fp: np.ndarray, starts: np.ndarray) -> pd.DataFrame:
+    def edges(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         """Edges of whole groups; starts: where they begin, and the end."""
-        table = pivot_table(fp, pivots)
+        fp = frame["fp"].to_numpy(np.int64)
+        table = np.frombuffer(b"".join(frame["pivots"]), np.int8).reshape(len(fp), -1)
         sizes = np.diff(starts)
         member = np.repeat(np.arange(len(sizes)), sizes)
         short = sizes[member] <= SHORT
@@ -189,7 +204,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == last or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        last, now = mark, written(star(star(now, True), False), "edges")
+        before, last, now = now, mark, written(star(star(now, True), False), "edges")
+        discard(before)
     raise RuntimeError("components did not settle")
 
 
@@ -201,10 +217,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table gives an empty result.
     """
     docs = written(fingerprints(df, id_col, text_col, words), "fingerprints")
-    nodes = written(docs.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    nodes = written(with_pivots(docs.groupBy("fp").agg(F.min("id").alias("least"))), "nodes")
     roots = components(links(nodes, bits))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = nodes.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # tables, so that the join with a root that very many fingerprints have is a plain shuffle and can be split
+    placed = written(placed, "placed")
+    least = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
     return docs.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
