@@ -31,14 +31,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write the rows as a Parquet table in the shared folder and read them again.
 
     The table survives lost executors, is compressed and column-pruned on reading. It stays until ``discard`` removes it or whoever
     owns the shared folder clears it.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

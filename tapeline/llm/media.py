@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, through_python
+from .common import documents, through_python, written
 
 PACKET, BODY = 188, 184
 PMT_PID, ES_PID, PROGRAM = 0x1000, 0x0100, 1
@@ -24,6 +24,8 @@ STREAM_TYPE, STREAM_ID = 0x06, 0xBD  # private data
 #: Payload bytes of a PES packet; samples a second (8-bit samples); PES packets from one random-access point to the next.
 UNIT, RATE, RAP_EVERY = 8192, 8000, 4
 CLOCK = 90_000
+#: Bytes of text whose streams are made at once.
+BYTES = 16_000_000
 
 
 @lru_cache(maxsize=4096)
@@ -195,8 +197,8 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), 256):  # few long texts in memory at once
-                part = frame.iloc[at : at + 256]
+            size = frame["t"].map(lambda t: len(t or "")).to_numpy()
+            for _, part in frame.groupby(np.cumsum(size) // BYTES, sort=False):  # few long texts in memory at once
                 padded = [_padded(t) for t in part["t"]]
                 yield pd.DataFrame({"id": part["id"].array, "n_bytes": [n for n, _ in padded], "media": [write_stream(p) for _, p in padded]})
 
@@ -234,5 +236,26 @@ def stream_features(media: DataFrame, keep: list[str], media_col: str = "media")
     return through_python(media.select(*keep, media_col), read, FEATURES, tuple(keep))
 
 
+def timestamps(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """id, unit (PES packet, from 0), pts (90 kHz), random_access: a row per PES packet of the stored streams, to seek by.
+
+    A null id stays null; rows that repeat give their packets again; an empty table gives an empty one.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for ident, raw in zip(frame["id"].array, frame["media"], strict=True):
+                got = read_stream(bytes(raw))
+                access = set(got["random_access"])
+                out += [(ident, k, pts, k in access) for k, pts in enumerate(got["pts"])]
+            yield pd.DataFrame(out, columns=["id", "unit", "pts", "random_access"])
+
+    rows = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
+    return through_python(rows, read, "unit bigint, pts bigint, random_access boolean").withColumnRenamed("id", id_col)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream_features(text_media(documents(spark, sf_dir)), ["doc_id", "n_bytes"])
+    """Streams are stored as a table's column and read back from there."""
+    stored = written(text_media(documents(spark, sf_dir)), "media", "zstd")
+    return stream_features(stored, ["doc_id", "n_bytes"])
