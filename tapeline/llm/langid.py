@@ -17,7 +17,7 @@ PROFILE, LONGEST = 300, 3
 #: Sharpness of the score: how fast a language's weight falls with its distance.
 SHARPNESS = 40.0
 #: Symbols for what isn't a letter; characters of texts that are counted at once; distances that are held at once.
-EDGE, CHARS, CELLS = 1, 1_000_000, 4_000_000
+EDGE, CHARS, CELLS = 1, 400_000, 4_000_000
 UND = "und"
 #: A document is rejected when no language's profile is nearer than this share of the largest distance.
 FAR = 0.97
@@ -81,7 +81,7 @@ def gram_counts(texts: list[str], owners: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def batches(frames: Iterator[pd.DataFrame], column: str, most: int = 1024) -> Iterator[pd.DataFrame]:
-    """Runs of rows with about CHARS characters of text and at most ``most`` rows."""
+    """Runs of rows with about ``CHARS`` characters of text and at most ``most`` rows."""
     for frame in frames:
         size = frame[column].map(len).to_numpy()
         part = np.cumsum(size) // CHARS + np.arange(len(size)) // most * (1 << 32)
@@ -92,7 +92,7 @@ def batches(frames: Iterator[pd.DataFrame], column: str, most: int = 1024) -> It
 def learn_profiles(rows: DataFrame, size: int = PROFILE) -> DataFrame:
     """lang, gram, n, rank (from 0) of each language's ``size`` most frequent n-grams; rows: (lang, text), all of them counted.
 
-    Each task counts in vectors and gives one row per language and gram for every million characters; Spark sums them. Ties are
+    Each task counts in vectors and gives one row per language and gram for every batch; Spark sums them. Ties are
     ordered by gram. The result has at most ``size`` rows a language.
     """
 
