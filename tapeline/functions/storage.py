@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared one (``spark.checkpoint.dir``); a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tapeline-")
+    """A new folder below the cluster's shared one (``spark.checkpoint.dir``); a temporary one where none is set and Spark runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="tapeline-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

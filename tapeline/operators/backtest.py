@@ -98,10 +98,15 @@ def buy_and_hold(episode_rows: DataFrame) -> DataFrame:
     return w.groupBy("symbol").agg((F.avg("r") * 100).alias("hold_roi"))
 
 
-def assemble_benchmark(parts: list[DataFrame]) -> DataFrame:
+def assemble_benchmark(parts: list[DataFrame], windows: DataFrame | None = None, days: int = 7) -> DataFrame:
+    """Rows (ts, close) of all parts, each once; with ``windows``, those from ``days`` before the first start to ``days`` after the last end."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    if windows is not None:
+        reach = F.expr(f"interval {int(days)} days")
+        ends = windows.agg((F.min("start_ts") - reach).alias("_from"), (F.max("end_ts") + reach).alias("_to"))  # one row
+        out = out.join(F.broadcast(ends), (F.col("ts") >= F.col("_from")) & (F.col("ts") <= F.col("_to"))).drop("_from", "_to")
     return out.distinct()
 
 

@@ -21,8 +21,8 @@ def rolling_slices(df: DataFrame, window: int = 60, step: int = 20) -> DataFrame
     hold: a multiple of ``step`` with a full window before it and a row of the symbol at it."""
     at = F.col("seq") - 1
     first = (F.floor(at / step) + 1) * step
-    n = F.max("seq").over(W.partitionBy("symbol"))
-    return df.withColumn("_n", n).select("*", F.explode(F.sequence(first, at + window, F.lit(step).cast("bigint"))).alias("start")).filter((F.col("start") >= window) & (F.col("start") < F.col("_n"))).drop("_n")
+    n = df.groupBy("symbol").agg(F.max("seq").alias("_n"))
+    return df.join(n, "symbol").select("*", F.explode(F.sequence(first, at + window, F.lit(step).cast("bigint"))).alias("start")).filter((F.col("start") >= window) & (F.col("start") < F.col("_n"))).drop("_n")
 
 
 def ou_fit(slices: DataFrame, window: int = 15) -> DataFrame:

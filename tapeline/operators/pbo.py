@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.windows import sequenced
+
+
+#: Values of t that are numbered in one task.
+RUN = 4096
+
 
 def chunks(perf: DataFrame, s: int = 16) -> DataFrame:
     """Adds chunk (from 0) to (trial, t, ret): the distinct times in s runs, the first ones one longer."""
     times = perf.select("t").distinct()
     n = times.count()
-    at = times.withColumn("i", F.row_number().over(W.orderBy("t")) - 1)  # one row a time step
+    at = sequenced(times.withColumn("symbol", F.lit(0)), ["t"], F.floor(F.col("t") / RUN)).select("t", (F.col("seq") - 1).alias("i"))
     long, width = n % s, n // s
     edge = long * (width + 1)
     chunk = F.when(F.col("i") < edge, F.floor(F.col("i") / (width + 1))).otherwise(long + F.floor((F.col("i") - edge) / max(width, 1)))

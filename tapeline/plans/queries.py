@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.storage import written
 from ..functions.windows import in_chunks
 from ..operators import backtest as bt
 from ..operators import bars, barriers, features, labels, model, pbo, prepare, telemetry
 from ..sources import io
-from . import tapes
+from . import dataset, tapes
 from .streams import STREAMS
 from .tapes import EVENT_BARS, LINEITEM_BARS, SIGNALS, THRESHOLD, TICKS_E, TICKS_L
 
@@ -52,11 +53,11 @@ def time_bars(spark, sf_dir):
     return io.time_bars(tapes.tape_events(spark, sf_dir)).select("symbol", text("ts"), *OHLCV)
 
 
-@query(f"WITH {TICKS_E}, {HOURS} SELECT symbol, {TS}, open, high, low, close, volume FROM hours WHERE symbol IN ('click', 'view', 'error')")
+@query(f"WITH {TICKS_E}, {HOURS} SELECT symbol, {TS}, open, high, low, close, volume FROM hours")
 def wide_to_long(spark, sf_dir):
     hours = io.time_bars(tapes.tape_events(spark, sf_dir))
-    wide = hours.groupBy("ts").pivot("symbol", ["click", "view", "error"]).agg(*(F.first(c).alias(c) for c in OHLCV))
-    return io.wide_to_long(wide, ["click", "view", "missing", "error"]).select("symbol", text("ts"), *OHLCV)
+    wide = hours.groupBy("ts").pivot("symbol", ["click", "error", "purchase", "signup", "view"]).agg(*(F.first(c).alias(c) for c in OHLCV))
+    return io.wide_to_long(wide, ["click", "view", "missing", "error", "purchase", "signup"]).select("symbol", text("ts"), *OHLCV)
 
 
 @query(f"WITH {TICKS_E} SELECT symbol, count(DISTINCT date_trunc('milliseconds', ts)) AS n FROM ticks GROUP BY 1")
@@ -211,7 +212,7 @@ def ffd_narrow(spark, sf_dir):
 
 @query()
 def adf_test(spark, sf_dir):
-    return features.adf_test(tapes.event_bars(spark, sf_dir), [0.3, 0.6, 0.9]).select("symbol", "d", "n", r("t"), "lag", r("p"))
+    return features.adf_test(tapes.event_bars(spark, sf_dir), features.D_GRID).select("symbol", "d", "n", r("t"), "lag", r("p"))
 
 
 @query()
@@ -356,11 +357,15 @@ def training_split(spark, sf_dir):
     return model.split_random(rows, F.pmod(F.col("symbol") * 31 + F.col("seq") * 7919, F.lit(100))).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
+PCA = ["pca_1", "pca_2", "pca_3", "pca_4"]
+
+
 def _trained(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir).select("symbol", "seq", "ts", "close", *COLS)
-    rows = labels.label_classes(labelled(rows))
-    data = model.split_random(model.training_set(rows, COLS))
-    return rows, data, model.fit_classifier(data, COLS, trees=10, depth=3)
+    """Labelled rows of the dataset, its matrices and a model of its train side; 10 trees of depth 3 for the operator's 100 and 5."""
+    rows, matrices = dataset.build(tapes.event_bars(spark, sf_dir))
+    train = labels.label_classes(labels.triple_barrier(rows.filter("split = 'train'")))
+    data = model.split_random(model.training_set(train, PCA))
+    return matrices, data, model.fit_classifier(data, PCA, trees=10, depth=3)
 
 
 @query()
@@ -371,8 +376,17 @@ def model_report(spark, sf_dir):
 
 @query()
 def latest_signals(spark, sf_dir):
-    rows, _, fitted = _trained(spark, sf_dir)
-    return model.latest_signals(model.score(fitted.transform(rows)))
+    """Each symbol's newest complete bar, scaled and rotated by the matrices of the train side, and scored."""
+    matrices, _, fitted = _trained(spark, sf_dir)
+    newest = dataset.newest(prepare.complete_rows(dataset.with_features(tapes.event_bars(spark, sf_dir))))
+    return model.latest_signals(model.score(fitted.transform(dataset.rotate(newest, matrices))))
+
+
+@query()
+def feature_build(spark, sf_dir):
+    """Rows of the whole dataset: four scores, barriers and the fractional close, by symbol and split."""
+    rows, _ = dataset.build(tapes.event_bars(spark, sf_dir))
+    return rows.select("symbol", "seq", "split", r("optimal_pt"), r("optimal_sl"), r("close_ffd"), *(r(c) for c in PCA))
 
 
 @query(f"""{SRC_L}, {LABELS}, p AS (SELECT label + 1 AS cls, (symbol + seq) % 3 AS pred FROM labelled),
@@ -484,7 +498,8 @@ def window_metrics(spark, sf_dir):
 
 
 def _evaluated(e):
-    return bt.evaluate(bt.window_metrics(bt.with_equity(bt.replay(e)), e))
+    ledger = written(bt.replay(e), "ledger")  # read for the sums and for the round trips
+    return bt.evaluate(bt.window_metrics(bt.with_equity(ledger), e))
 
 
 @query(f"{REPLAY}, {EQUITY}, {TRIPS}, {METRICS}, {EVAL} SELECT symbol, {', '.join(f'round({c}, 4) AS {c}' for c in METRIC)}, trades FROM ev")
@@ -503,9 +518,9 @@ def bench_windows(e):
     return e.groupBy("symbol", "win").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
 
 
-def bench_table(spark, sf_dir):
+def bench_table(spark, sf_dir, windows):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderdate").alias("ts")).agg(F.avg("o_totalprice").alias("close"))
-    return bt.assemble_benchmark([o])
+    return bt.assemble_benchmark([o], windows)
 
 
 @query(f"WITH {SIGNALS}, {WINDOWS}, {HOLD} SELECT symbol, round(hold_roi, 5) AS hold_roi FROM hold")
@@ -515,7 +530,8 @@ def buy_and_hold(spark, sf_dir):
 
 @query(f"WITH {SIGNALS}, {WINDOWS}, {BENCH} SELECT strftime(a, '%Y-%m-%d') AS start_ts, strftime(b, '%Y-%m-%d') AS end_ts, round(roi, 5) AS bench_roi, round(cagr, 3) AS bench_cagr FROM bro")
 def benchmark_returns(spark, sf_dir):
-    out = bt.benchmark_returns(bench_windows(episode_rows(spark, sf_dir)), bench_table(spark, sf_dir))
+    w = bench_windows(episode_rows(spark, sf_dir))
+    out = bt.benchmark_returns(w, bench_table(spark, sf_dir, w))
     return out.select(*(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("start_ts", "end_ts")), r("bench_roi", 5), r("bench_cagr", 3))
 
 
@@ -523,9 +539,9 @@ def benchmark_returns(spark, sf_dir):
 SELECT symbol, trades, round_even(roi, 2) AS roi, round_even(win_rate, 2) AS win_rate, round_even(hold_roi, 2) AS hold_roi, round_even(bench_roi, 2) AS bench_roi,
        round_even(roi - hold_roi, 2) AS excess_hold, round_even(roi - bench_roi, 2) AS excess_bench FROM ev JOIN hold USING (symbol) JOIN bs USING (symbol)""")
 def report(spark, sf_dir):
-    e = episode_rows(spark, sf_dir)
+    e = written(episode_rows(spark, sf_dir), "episodes")  # four readers follow
     w = bench_windows(e)
-    bench = w.join(bt.benchmark_returns(w, bench_table(spark, sf_dir)), ["start_ts", "end_ts"]).groupBy("symbol").agg(F.avg("bench_roi").alias("bench_roi"))
+    bench = w.join(bt.benchmark_returns(w, bench_table(spark, sf_dir, w)), ["start_ts", "end_ts"]).groupBy("symbol").agg(F.avg("bench_roi").alias("bench_roi"))
     return bt.report(_evaluated(e), bt.buy_and_hold(e), bench).select("symbol", "trades", "roi", "win_rate", "hold_roi", "bench_roi", "excess_hold", "excess_bench")
 
 

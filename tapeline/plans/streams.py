@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import folder
+from ..functions.storage import folder, written
 from ..streaming import stream
 from . import tapes
 from .tapes import EVENT_BARS, TICKS_E
 
+SLICES = 6
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tape as files in a folder of its own, in order of time, and a stream of them."""
+    """The tape in a folder of its own, a file for each of ``SLICES`` equal spans of time, one after the other, and a stream that reads a
+    file a batch: state and watermark go from batch to batch, and a batch is the largest part of a symbol that is held."""
     path = folder(spark, "ticks")
-    tapes.tape_events(spark, sf_dir).write.parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    ticks = written(tapes.tape_events(spark, sf_dir), "tape")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = ticks.agg(F.min(at), F.max(at)).first()
+    span = ((hi or 0) - (lo or 0)) // SLICES + 1
+    for k in range(SLICES):
+        begin = (lo or 0) + k * span
+        ticks.filter((at >= begin) & (at < begin + span)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def drained(out: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:

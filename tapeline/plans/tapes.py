@@ -34,7 +34,7 @@ def as_bars(ticks: DataFrame) -> DataFrame:
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars.dollar_bars(tape_events(spark, sf_dir))
+    return bars.dollar_bars(tape_events(spark, sf_dir), chunk_rows=1_000_000)  # a symbol grows with the data
 
 
 def lineitem_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

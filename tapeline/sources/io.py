@@ -70,13 +70,15 @@ def time_bars(ticks: DataFrame, width: str = "1 hour") -> DataFrame:
     return out.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def write_dataset(df: DataFrame, path: str) -> None:
-    df.write.partitionBy("split", "symbol").mode("overwrite").parquet(path)
+def write_dataset(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """A folder for each split and symbol; ``kind`` is ``parquet`` or ``csv`` (with a header)."""
+    df.write.partitionBy("split", "symbol").mode("overwrite").option("header", True).format(kind).save(path)
 
 
-def read_dataset(spark: SparkSession, path: str, required: list[str], min_rows: int = 20) -> DataFrame:
-    """Complete rows of a dataset that has the required columns; symbols with fewer than ``min_rows`` are left out."""
-    df = spark.read.parquet(path)
+def read_dataset(spark: SparkSession, path: str, required: list[str], min_rows: int = 20, kind: str = "parquet", schema: str | T.StructType | None = None) -> DataFrame:
+    """Complete rows of a dataset that has the required columns; symbols with fewer than ``min_rows`` are left out. CSV needs a schema."""
+    reader = spark.read.format(kind).option("header", True)
+    df = (reader.schema(schema) if schema is not None else reader).load(path)
     if missing := set(required) - set(df.columns):
         raise ValueError(f"missing columns: {sorted(missing)}")
     df = df.na.drop()
