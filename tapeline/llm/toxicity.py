@@ -73,17 +73,17 @@ def learn_lexicon(labelled: DataFrame) -> list[str]:
     if not bad or not good:
         discard(rows)
         return []
-    each = lambda k: rows.filter(F.col("toxic") == k).select("sig", F.explode("tokens").alias("token")).distinct()
-    found = written(each(1).groupBy("token").agg(F.count(F.lit(1)).alias("k")), "toxic-tokens")
-    many = found.filter("k >= 4")
-    clean = each(0).join(many, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    each = lambda k: rows.filter(F.col("toxic") == k).select("sig", F.explode("tokens").alias("token"))
+    found = written(each(1).distinct().groupBy("token").agg(F.count(F.lit(1)).alias("k")), "toxic-tokens")
+    many = written(found.filter("k >= 4"), "toxic-often")  # a table of its own, so that Spark knows its size before the clean texts' tokens move
+    clean = each(0).join(many.select("token"), "token", "left_semi").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     both = many.join(clean, "token", "left").withColumn("n", F.col("k") + F.coalesce("c", F.lit(0)))
     base, need = bad / (bad + good), math.log(max(found.count(), 1) / CHANCE)
     q = F.col("k") / F.col("n")
     gain = F.col("k") * F.log(q / base) + F.when(q < 1, (F.col("n") - F.col("k")) * F.log((1 - q) / (1 - base))).otherwise(0.0)
     best = both.filter((F.col("k") / (F.col("n") + 0.1) >= PRECISION) & (gain >= need))
     out = sorted(r["token"] for r in best.select("token").collect())
-    discard(rows, found)
+    discard(rows, found, many)
     return out
 
 
