@@ -25,7 +25,7 @@ GROUPS = 1024  # of large pieces
 #: Strings that are one token wherever they stand in a text, as the vocabulary's JSON file lists them.
 SPECIAL = {"<|endoftext|>": 50256}
 #: Pieces that one window ranks.
-RANK_ROWS = 8192
+RANK_ROWS = 512
 
 
 @lru_cache(maxsize=2)
@@ -181,7 +181,7 @@ def group_and_fit(counts: dict[int, int], capacity: int, small: int, groups: int
 def pack(df: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("id", "piece", "ids_crc32")) -> DataFrame:
     """The rows of ``df`` (a table on disk with ``length``, from 1 to ``capacity``) with sequence_id and offset.
 
-    The driver sees only how many pieces have each length. Pieces of a length are numbered within hashed buckets of about 8,000,
+    The driver sees only how many pieces have each length. Pieces of a length are numbered within hashed buckets of about 500,
     so no length, however common, is one task's; a length has as many buckets as its count asks for. Each number has its place in
     the plan, a list of some thousand runs that every task looks up. Rows that repeat are packed as often as they occur; an
     empty table gives an empty result.
