@@ -9,10 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bucket, discard, documents, text_key, through_python, without_rows, written
+from .common import bucket, discard, documents, text_key, through_python, written
 
 #: Most texts with a vote, and as many without one, that the classifier is fitted on.
 SAMPLE = 30_000
@@ -129,6 +131,20 @@ def vote(df: DataFrame, lexicon: list[str], id_col: str = "doc_id", text_col: st
     return through_python(rows, run, "text_key bigint, votes bigint, hits bigint, begins bigint, words bigint")
 
 
+def vote_rows(docs: DataFrame, lexicon: list[str], text_col: str = "text") -> DataFrame:
+    """row (all columns of docs), text_key, votes, hits, begins, words of every row, so that a decision needs no join with the texts."""
+    voters = Voters(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).field(text_col).to_pylist()  # a null row can't be: the struct is made of columns
+            got = np.array([voters(t or "") for t in texts], np.int64).reshape(len(texts), 4)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(got[:, k]) for k in range(4))], names=["row", "text_key", "votes", "hits", "begins", "words"])
+
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_key(F.col(text_col)).alias("text_key"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema, *(T.StructField(c, T.LongType()) for c in ("votes", "hits", "begins", "words"))]))
+
+
 def unpack(votes: np.ndarray) -> np.ndarray:
     return (votes[:, None] >> np.arange(N_VOTERS)) & 1
 
@@ -250,6 +266,24 @@ def sample_texts(votes: DataFrame, size: int) -> pd.DataFrame:
     return pick(n["some"], F.col("votes") != 0).unionByName(pick(n["none"], F.col("votes") == 0)).drop("_h").toPandas()
 
 
+def lexicon_of(rows: DataFrame, train: DataFrame) -> list[str]:
+    """The lexicon of the labelled rows (doc_id, text); held-out rows have no label to learn from, so their texts don't move."""
+    return learn_lexicon(rows.filter(bucket(F.col("doc_id"), 3) != 1).join(train, "doc_id").select("toxic", "text"))
+
+
+def learn(votes: DataFrame, train: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
+    """The classifier's weights from the votes (doc_id, text_key, votes, ...) of all texts; None without labels of both classes."""
+    model = fit_label_model(votes, votes.select("votes", "doc_id").join(train, "doc_id"))
+    known = sample_texts(votes, sample)
+    if train.select("toxic").distinct().count() < 2 or not len(known):
+        return None
+    return fit_linear(features(known), model.posterior(known["votes"].to_numpy(np.int64)))
+
+
+def scores(f: pd.DataFrame, w: np.ndarray | None) -> np.ndarray:
+    return np.zeros(len(f)) if w is None else 1 / (1 + np.exp(-np.clip(features(f) @ w, -30, 30)))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """id, score (0 to 1), predicted (score >= 0.7), text_key of every row, from its text alone.
 
@@ -261,17 +295,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     train = written(training_labels(labels), "toxic-labels")
-    lexicon = learn_lexicon(rows.join(train, "doc_id").select("toxic", "text"))
-    votes = written(vote(rows, lexicon, "doc_id"), "votes")
-    labelled = votes.select("votes", F.col("id").alias("doc_id")).join(train, "doc_id")
-    classes = train.select("toxic").distinct().count()
-    model = fit_label_model(votes, labelled)
-    known = sample_texts(votes, sample)
-    w = fit_linear(features(known), model.posterior(known["votes"].to_numpy(np.int64))) if classes == 2 and len(known) else None
+    votes = written(vote(rows, lexicon_of(rows, train), "doc_id"), "votes")
+    w = learn(votes.withColumnRenamed("id", "doc_id"), train, sample)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            score = np.zeros(len(f)) if w is None else 1 / (1 + np.exp(-np.clip(features(f) @ w, -30, 30)))
+            score = scores(f, w)
             yield pd.DataFrame({"id": f["id"].array, "text_key": f["text_key"], "score": score, "predicted": (score >= THRESHOLD).astype(np.int32)})
 
     return through_python(votes, run, "text_key bigint, score double, predicted int").withColumnRenamed("id", id_col)
@@ -284,5 +313,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents but for those predicted toxic. Each row is judged by its own text: rows without an id or with another's id stay if clean."""
-    bad = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 1")
-    return without_rows(docs, written(bad.select("doc_id", "text_key"), "toxic-rows"), text_key(F.col("text")))
+    train = written(training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")), "toxic-labels")
+    votes = written(vote_rows(docs, lexicon_of(docs.select("doc_id", "text"), train)), "votes")
+    w = learn(votes.withColumn("doc_id", F.col("row.doc_id")), train)
+
+    @F.pandas_udf("double")
+    def score(votes: pd.Series, hits: pd.Series, begins: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series(scores(pd.DataFrame({"votes": votes, "hits": hits, "begins": begins, "words": words}), w))
+
+    return votes.filter(score("votes", "hits", "begins", "words") < THRESHOLD).select("row.*")

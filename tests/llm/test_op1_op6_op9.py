@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -263,3 +264,17 @@ def test_rows_are_judged_by_their_own_text(spark, docs, tmp_path, monkeypatch):
     spark.createDataFrame([(1, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = [(None, "bad"), (None, "clean"), (None, None), (1, "bad"), (1, "clean"), (1, "clean")]
     assert left(toxicity.toxicity_stage(spark, docs(rows), str(tmp_path))) == sorted([(None, "clean"), (None, None), (1, "clean"), (1, "clean")], key=repr)
+
+
+def test_counters_lose_no_similar_pair():
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(-(1 << 62), 1 << 62, n) for n in (1, 5, 40, 700, 6000)] + [np.arange(300) * 256]
+    for s in sets:
+        a = np.frombuffer(near_copies.counters(s, np.zeros(len(s), np.int64), 1)[0], np.uint8).astype(int)
+        for cut in (0, len(s) // 20, len(s) // 10):
+            t = np.concatenate([s[cut:], rng.integers(-(1 << 62), 1 << 62, cut)])
+            b = np.frombuffer(near_copies.counters(t, np.zeros(len(t), np.int64), 1)[0], np.uint8).astype(int)
+            if len(a) and len(b):
+                assert np.minimum(a, b).sum() >= len(np.intersect1d(s, t)) and a.sum() == len(s)
+    assert near_copies.counters(sets[-1], np.zeros(300, np.int64), 1) == [b""]
+    assert near_copies.counters(np.empty(0, np.int64), np.empty(0, np.int64), 2) == [bytes(256)] * 2
