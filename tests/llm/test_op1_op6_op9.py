@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tapeline.llm import exact_dedup as ed
 from tapeline.llm import licenses, near_copies, simhash, toxicity
-from tapeline.llm.common import text_key
 
 from .conftest import EDGE
 
@@ -259,8 +258,10 @@ def test_stages_leave_exactly_one_row_of_a_group(spark, docs):
 
 
 def test_rows_are_judged_by_their_own_text(spark, docs, tmp_path, monkeypatch):
-    marked = lambda df, labels: df.select("doc_id", F.lit(0.9).alias("score"), F.coalesce(F.col("text"), F.lit("")).contains("bad").cast("int").alias("predicted"), text_key(F.col("text")).alias("text_key"))
-    monkeypatch.setattr(toxicity, "score_toxicity", marked)
+    weights = np.zeros(toxicity.N_VOTERS + 4)
+    weights[: toxicity.N_VOTERS], weights[-1] = 10, -5  # any vote is enough
+    monkeypatch.setattr(toxicity, "lexicon_of", lambda rows, train: ["bad"])
+    monkeypatch.setattr(toxicity, "learn", lambda votes, train: weights)
     spark.createDataFrame([(1, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = [(None, "bad"), (None, "clean"), (None, None), (1, "bad"), (1, "clean"), (1, "clean")]
     assert left(toxicity.toxicity_stage(spark, docs(rows), str(tmp_path))) == sorted([(None, "clean"), (None, None), (1, "clean"), (1, "clean")], key=repr)
