@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +91,39 @@ def through_python(rows: DataFrame, run, rest: str, ids: tuple[str, ...] = ("id"
 def bucket(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the split into training and held-out rows. 0 for null."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % n, F.lit(0))
+
+
+#: Bits of the largest bitmap of listed keys that is broadcast (16 MB), and bits a key.
+MOST_BITS, KEY_BITS = 1 << 27, 16
+
+
+def maybe_listed(rows: DataFrame, key: str, listed: DataFrame, listed_key: str) -> DataFrame:
+    """The rows whose bigint ``key`` can be among ``listed`` (a table), and about a sixteenth of the others: to filter wide rows before
+    they are shuffled for the join that decides. The bitmap has a fixed largest size; with over 32 million keys it would let most rows pass
+    and all are returned."""
+    n = listed.count()
+    bits = 1 << max(10, (n * KEY_BITS - 1).bit_length())
+    if bits > MOST_BITS * 4:
+        return rows
+    bits = min(bits, MOST_BITS)
+    at = F.col(listed_key).bitwiseAND(F.lit(bits - 1))
+    words = listed.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast({listed_key} & 63 as int))").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def hit(keys: pd.Series) -> pd.Series:
+        k = keys.to_numpy(np.int64)
+        return pd.Series((shared.value[(k & (bits - 1)) >> 6] >> (k & 63)) & 1 == 1)
+
+    return rows.filter(hit(key))
+
+
+def texts_of(df: DataFrame, id_col: str, text_col: str, ends: DataFrame) -> DataFrame:
+    """node, t of ``ends`` (a table of node, id, text_key): one or, where rows repeat an id and its text, more rows a node. Few other texts are shuffled."""
+    rows = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("t"))
+    ends = ends.select("node", F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+    rows = maybe_listed(rows, "text_key", ends, "_key")
+    return rows.join(ends, (rows["text_key"] == ends["_key"]) & rows["id"].eqNullSafe(ends["_id"])).select("node", "t")

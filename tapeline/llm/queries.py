@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, langid, licenses, media, merges, packing, simhash, toxicity, warc
+from . import chat, exact_dedup, langid, licenses, media, merges, minhash, packing, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_simhash": simhash.op9_simhash,
         "op10_media": media.op10_media,
+        "op11_minhash": minhash.op11_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.ORACLE, "op3_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_license_scan": licenses.ORACLE, "op3_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op11_minhash": minhash.ORACLE}
