@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, langid, licenses, media, merges, merkle, minhash, packing, simhash, toxicity, warc
+from . import chat, exact_dedup, langid, licenses, media, merges, merkle, minhash, packing, simhash, toxicity, warc, ztrie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_media": media.op10_media,
         "op11_minhash": minhash.op11_minhash,
         "op12_merkle": merkle.op12_merkle,
+        "op13_prefix_trie": ztrie.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.ORACLE, "op3_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op11_minhash": minhash.ORACLE, "op12_merkle": merkle.ORACLE}
+    return {"op1_license_scan": licenses.ORACLE, "op3_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op11_minhash": minhash.ORACLE, "op12_merkle": merkle.ORACLE, "op13_prefix_trie": ztrie.ORACLE}
