@@ -138,7 +138,8 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     candidates = written(bucket_forest(keyed, nodes, ["n", "sketch"], sketch_test), "candidates")
     roots = linked_components(candidates, sets)
     placed = written(nodes.join(roots, "node", "left").select("k1", "k2", "id", F.coalesce("root", "node").alias("root")), "placed")
-    of = placed.groupBy("root").agg(F.min("id").alias("component_id"))  # min passes over nulls
+    # a table, so that both sides of the join are plain shuffles and adaptive execution can split a component with very many sets
+    of = written(placed.groupBy("root").agg(F.min("id").alias("component_id")), "least")  # min passes over nulls
     of = written(placed.join(of, "root").select("k1", "k2", "component_id"), "set-components")
     out = full.join(of, ["k1", "k2"]).select("id", "n", "component_id").unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
     discard(candidates)
