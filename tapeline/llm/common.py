@@ -65,19 +65,21 @@ def text_key(text: Column) -> Column:
 def without_rows(docs: DataFrame, dropped: DataFrame, key: Column, repeated: DataFrame | None = None) -> DataFrame:
     """Documents but for those whose (doc_id, ``key``) is among ``dropped`` (doc_id, text_key); null is an id like any other.
 
-    Of rows that share a pair in ``repeated`` (doc_id, text_key) one stays, the one whose columns hash least. Both are tables on disk:
-    Spark broadcasts them where their size allows it and else joins by key, and adaptive execution splits a frequent pair.
+    Of rows that share a pair in ``repeated`` (doc_id, text_key) one stays, the one that hashes least as JSON. Columns may have any name and
+    any type. Both are tables on disk: Spark broadcasts them where their size allows it and else joins by key, and adaptive execution splits a frequent pair.
     """
+    names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
 
     def join(rows: DataFrame, listed: DataFrame, how: str) -> DataFrame:
         listed = listed.select(F.col("doc_id").alias("_listed_id"), F.col("text_key").alias("_listed_key"))
-        return rows.join(listed, (key == listed["_listed_key"]) & rows["doc_id"].eqNullSafe(listed["_listed_id"]), how).select(rows.columns)
+        return rows.join(listed, (key == listed["_listed_key"]) & rows["doc_id"].eqNullSafe(listed["_listed_id"]), how).select(*(rows[c] for c in names))
 
     out = join(docs, dropped, "left_anti")
     if repeated is None or repeated.isEmpty():
         return out
     once = join(docs, repeated, "left_semi").groupBy(F.col("doc_id").alias("_id"), key.alias("_key"))
-    once = once.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    row = F.struct(*(F.col(c) for c in names))
+    once = once.agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row")).select("_row.*")
     return join(out, repeated, "left_anti").unionByName(once)
 
 

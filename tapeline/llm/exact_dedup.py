@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lower_ascii, text_key, without_rows, written
+from .common import documents, lower_ascii, maybe_listed, text_key, without_rows, written
 
 #: Members of a group that one task compares with the group's text.
 SALT_ROWS = 256
@@ -23,8 +23,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     a row of its own. A null id never stays unless all ids of the group are null. Other columns are ignored, whatever their names.
     An empty table gives an empty result.
 
-    Scale: only (id, key, digest) is shuffled for the grouping, with map-side combining. Texts move once for rows whose key repeats.
-    A group with very many copies is salted by its size before the comparison.
+    Scale: only (id, key, digest) is shuffled for the grouping, with map-side combining. Texts move once for rows whose key repeats, and for the
+    few others that a bitmap of repeated keys lets pass. A group with very many copies is salted by its size before the comparison.
     """
     text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
     base = df.select(F.col(id_col).alias("id"), text.alias("t"))
@@ -39,7 +39,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     repeated = groups.filter("n > 1")
 
     salts = F.ceil(F.col("n") / SALT_ROWS)
-    members = written(base.withColumn("key", key).join(repeated, "key"), "dedup-members")  # texts are shuffled once
+    members = maybe_listed(base.withColumns({"key": key, "kk": F.xxhash64(key)}), "kk", repeated.select(F.xxhash64("key").alias("kk")), "kk").drop("kk")
+    members = written(members.join(repeated, "key"), "dedup-members")  # texts are shuffled once
     text_of = members.filter(F.col("id").eqNullSafe(F.col("keep"))).filter(sha == F.col("keep_sha")).groupBy("key", "n").agg(F.min("t").alias("kept_t"))
     text_of = text_of.select("key", "kept_t", F.explode(F.sequence(F.lit(0), salts.cast("int") - 1)).alias("salt"))
     members = members.select("key", "t", F.pmod(F.xxhash64("id", "t"), salts).cast("int").alias("salt"))
