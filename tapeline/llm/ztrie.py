@@ -116,7 +116,7 @@ def inserted(trie: DataFrame | None, batch: DataFrame, deepest: int) -> DataFram
         F.when(F.col("depth") == 0, F.lit(ROOT)).otherwise(F.get("hashes", F.col("depth") - F.col("start") - 1)).alias("node"), part("hashes").alias("hashes"), part("words").alias("words"),
     )
 
-    fresh = located.filter(F.size("hashes") > F.col("leave")).withColumn("tip", F.element_at("hashes", -1))
+    fresh = located.filter(F.size("hashes") > F.col("leave")).withColumn("tip", F.try_element_at("hashes", F.lit(-1)))
     steps = fresh.select("tip", "leave", F.explode(F.sequence(F.col("leave") + 1, F.size("hashes"))).alias("d"), "hashes")
     steps = steps.select("tip", "leave", "d", F.get("hashes", F.col("d") - 1).alias("h"), F.get("hashes", F.col("d")).alias("next"))
     seen = steps.groupBy("h").agg(F.min("next").alias("lo"), F.max("next").alias("hi"), F.max(F.col("next").isNull()).alias("ends"), F.min("tip").alias("tip"))
@@ -189,7 +189,7 @@ def prefix_trie(sequences: DataFrame, batches: tuple[int, ...] = BATCHES) -> Dat
     Scale: turns travel as 128-bit hashes. Batches are located by equi-joins; nothing is collected by node but the split points of an
     edge. Counts and sums below a node are map-side sums over the distinct sequences' nodes.
     """
-    each = prefixes(sequences).withColumn("tip", F.coalesce(F.element_at("hashes", -1), F.lit(ROOT)))
+    each = prefixes(sequences).withColumn("tip", F.coalesce(F.try_element_at("hashes", F.lit(-1)), F.lit(ROOT)))
     each = written(each, "prefixes")
     distinct = each.groupBy("tip").agg(F.count(F.lit(1)).alias("k"), F.min("conv_id").alias("least"), F.first("hashes").alias("hashes"), F.first("words").alias("words"))
     distinct = written(distinct, "sequences")

@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tapeline.llm import exact_dedup as ed
-from tapeline.llm import licenses, near_copies, simhash, toxicity
+from tapeline.llm import licenses, near_copies, set_links, simhash, toxicity
+from tapeline.llm.common import maybe_listed
 
 from .conftest import EDGE
 
@@ -203,9 +204,11 @@ def planted(words, want, rng):
     return " ".join(now)
 
 
-@pytest.mark.parametrize("few, sample", [(32, 1), (3, 1), (3, 0)])
-def test_stage_finds_copies_of_similarity_at_least_0_8(spark, docs, monkeypatch, few, sample):
-    monkeypatch.setattr(near_copies, "FEW", few)  # with 3, most shingles of a group are paired with one set first
+@pytest.mark.parametrize("small, sample", [(1024, 1), (3, 1), (3, 0)])
+def test_stage_finds_copies_of_similarity_at_least_0_8(spark, docs, monkeypatch, small, sample):
+    forest, linked = near_copies.bucket_forest, near_copies.linked_components  # with 3, buckets and clusters are many pieces
+    monkeypatch.setattr(near_copies, "bucket_forest", lambda *a: forest(*a, chunk=small))
+    monkeypatch.setattr(near_copies, "linked_components", lambda e, sets: linked(e, sets, piece=small))
     monkeypatch.setattr(near_copies, "SAMPLE", sample)  # the share of texts searched; with 0, no shingle is known to be common
     rng = random.Random(11)
     passage = [f"common{k}" for k in range(60)]
@@ -267,15 +270,35 @@ def test_rows_are_judged_by_their_own_text(spark, docs, tmp_path, monkeypatch):
     assert left(toxicity.toxicity_stage(spark, docs(rows), str(tmp_path))) == sorted([(None, "clean"), (None, None), (1, "clean"), (1, "clean")], key=repr)
 
 
-def test_counters_lose_no_similar_pair():
+def test_bitmaps_lose_no_similar_pair():
     rng = np.random.default_rng(4)
-    sets = [rng.integers(-(1 << 62), 1 << 62, n) for n in (1, 5, 40, 700, 6000)] + [np.arange(300) * 256]
-    for s in sets:
-        a = np.frombuffer(near_copies.counters(s, np.zeros(len(s), np.int64), 1)[0], np.uint8).astype(int)
-        for cut in (0, len(s) // 20, len(s) // 10):
+    for n in (1, 5, 40, 700, 6000):
+        s = rng.integers(-(1 << 62), 1 << 62, n)
+        for cut in (0, n // 18, n // 9):
             t = np.concatenate([s[cut:], rng.integers(-(1 << 62), 1 << 62, cut)])
-            b = np.frombuffer(near_copies.counters(t, np.zeros(len(t), np.int64), 1)[0], np.uint8).astype(int)
-            if len(a) and len(b):
-                assert np.minimum(a, b).sum() >= len(np.intersect1d(s, t)) and a.sum() == len(s)
-    assert near_copies.counters(sets[-1], np.zeros(300, np.int64), 1) == [b""]
-    assert near_copies.counters(np.empty(0, np.int64), np.empty(0, np.int64), 2) == [bytes(256)] * 2
+            maps = set_links.parity_bitmaps(np.concatenate([s, t]), np.repeat([0, 1], n), 2, near_copies.BITS)
+            pop = set_links.differing(maps[:1], maps[1:])
+            assert pop[0] <= 2 * cut and set_links.may_share(pop, np.array([n]), np.array([n]))[0]
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark):
+    rows = [(1, "one text of words", {"k": 1}, "z", (1, None)), (1, "one text of words", {"k": 2}, None, None), (2, "One text of words", None, "z", (2, "é")), (3, "another", {}, "y", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, m map<string, int>, `a.b` string, `odd ``name` struct<x: int, y: string>")
+    for stage in (ed.exact_dedup_stage, near_copies.near_dedup_stage):
+        out = stage(spark, df, "")
+        assert out.schema == df.schema and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_dedup_of_a_text_of_a_megabyte(spark, docs):
+    long = " ".join(f"word{k}" for k in range(120_000))
+    rows = [(1, long), (2, long.upper()), (3, long + " more"), (4, long[: len(long) // 2])]
+    assert [i for i, _ in left(ed.exact_dedup_stage(spark, docs(rows), ""))] == [1, 3, 4]
+    assert [i for i, _ in left(near_copies.near_dedup_stage(spark, docs(rows), ""))] == [1, 4]
+
+
+def test_bitmap_of_listed_keys_lets_all_listed_rows_pass(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("k"), "id")
+    listed = rows.filter("id % 50 = 0")
+    left_over = {r.id for r in maybe_listed(rows, "k", listed, "k").collect()}
+    assert {*range(0, 20_000, 50)} <= left_over and len(left_over) < 3000
+    assert maybe_listed(rows, "k", listed.filter("false"), "k").count() == 0
