@@ -92,6 +92,51 @@ def adf(y: np.ndarray) -> tuple[float, int]:
     return (float(beta[1]) / se if se > 0 else 0.0), lag
 
 
+def adf_lags(n: int) -> int:
+    """Most lags that are tried for n values."""
+    n -= 1
+    return min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+
+
+def adf_design(y: np.ndarray, lags: int) -> np.ndarray:
+    """Rows (1, level, last ``lags`` changes, next change) of each value of y that has them all."""
+    dy = np.diff(y)
+    if len(dy) <= lags:
+        return np.empty((0, lags + 3))
+    past = np.lib.stride_tricks.sliding_window_view(dy, lags + 1)[:, ::-1]  # next change, then the last ones backward
+    return np.column_stack([np.ones(len(past)), y[lags:-1], past[:, 1:], past[:, 0]])
+
+
+def adf_of_moments(m: np.ndarray, head: np.ndarray, lag: int | None = None) -> tuple[float, int]:
+    """(t, lag) of the augmented Dickey-Fuller test from the moments X'X of ``adf_design`` with all lags (the common sample).
+
+    One Cholesky factor gives the residual sums of all nested lags, and so the one with the least AIC (or ``lag`` is given). The rows before the common sample,
+    which that lag can use too, come from the series' first values, ``head``.
+    """
+    top, n = m.shape[0] - 3, m[0, 0]
+    if lag is None:
+        scale = np.sqrt(np.maximum(np.diag(m), 1e-300))  # columns of one size
+        x = m[:-1, :-1] / np.outer(scale[:-1], scale[:-1])
+        c = np.linalg.cholesky(x + 1e-14 * np.eye(len(x)))
+        w = np.linalg.solve(c, m[:-1, -1] / scale[:-1])
+        ssr = m[-1, -1] - np.cumsum(w * w)[1:]  # with 0, 1, .. lags
+        aic = n * (np.log(np.maximum(ssr, 1e-300) / n) + 1 + math.log(2 * math.pi)) + 2 * (np.arange(top + 1) + 2)
+        lag = 0
+        for k in range(1, top + 1):
+            if aic[k] < aic[lag] - 1e-9:
+                lag = k
+    use = [*range(lag + 2), top + 2]
+    full = m[np.ix_(use, use)]
+    if lag < top:
+        first = adf_design(head[: top + 1], lag)
+        full = full + first.T @ first
+    inv = np.linalg.pinv(full[:-1, :-1], hermitian=True)
+    beta = inv @ full[:-1, -1]
+    ssr = full[-1, -1] - beta @ full[:-1, -1]
+    se = math.sqrt(max(ssr / (full[0, 0] - len(beta)) * inv[1, 1], 0.0))
+    return (float(beta[1]) / se if se > 0 else 0.0), lag
+
+
 def adf_pvalue(t: float) -> float:
     """MacKinnon's (1994) approximation for a constant, one variable."""
     if t > 2.74:
@@ -108,28 +153,49 @@ def noise(n: int, length: int, seed: int) -> np.ndarray:
 
 def ar_paths(phi: float, eps: np.ndarray) -> np.ndarray:
     """p_0 = 0, p_t = phi p_(t-1) + eps_t; one row a path."""
-    out = np.zeros((len(eps), eps.shape[1] + 1))
-    for t in range(eps.shape[1]):
-        out[:, t + 1] = phi * out[:, t] + eps[:, t]
-    return out
+    steps = np.ascontiguousarray(eps.T)
+    out = np.zeros((len(steps) + 1, len(eps)))
+    for t, e in enumerate(steps):
+        np.multiply(out[t], phi, out=out[t + 1])
+        out[t + 1] += e
+    return out.T
+
+
+def cell_sums(paths: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Of each cell (pt, sl) of the grid: paths that hit pt first, that hit sl first, and the sum and sum of squares of the last prices of
+    the others; shape (4, cells, cells). Sums of parts of the paths add up.
+
+    A path's first hit of a level is the number of steps at which its running maximum (minimum) is still short of it, once a level.
+    """
+    steps = paths.shape[1]
+    p = np.ascontiguousarray(paths.T)
+    high, low = p[0].copy(), p[0].copy()
+    up, down = np.zeros((2, len(grid), len(paths)), np.int8)
+    short = np.empty(len(paths), bool)
+    for now in p:
+        np.maximum(high, now, out=high)
+        np.minimum(low, now, out=low)
+        for i, g in enumerate(grid):
+            up[i] += np.less(high, g, out=short).view(np.int8)
+            down[i] += np.greater(low, -g, out=short).view(np.int8)
+    count = lambda x, y: np.array([[np.count_nonzero(a < b) for b in y] for a in x])
+    last, no_up, no_down = p[-1], (up == steps).astype(float), (down == steps).astype(float)
+    return np.stack([count(up, down), count(down, up).T, (no_up * last) @ no_down.T, (no_up * (last * last)) @ no_down.T])
+
+
+def best_cell(sums: np.ndarray, n: int, grid: np.ndarray) -> tuple[float, float, float]:
+    """(pt, sl, sharpe) of the best cell by ``cell_sums`` of n paths; the first on ties, 0 without deviation."""
+    pt, sl = grid[:, None], grid[None, :]
+    mean = (sums[0] * pt - sums[1] * sl + sums[2]) / n
+    var = (sums[0] * pt * pt + sums[1] * sl * sl + sums[3]) / n - mean * mean
+    sharpe = np.where(var > 1e-18, mean / np.sqrt(np.maximum(var, 1e-18)), 0.0)
+    i, j = np.unravel_index(np.argmax(sharpe), sharpe.shape)
+    return float(grid[i]), float(grid[j]), float(sharpe[i, j])
 
 
 def best_barriers(paths: np.ndarray, grid: np.ndarray) -> tuple[float, float, float]:
     """(pt, sl, sharpe) of the best cell for paths in units of sigma: the level hit first, else the last price; first cell on ties."""
-    steps = paths.shape[1]
-    first = lambda hit: np.where(hit.any(axis=1), hit.argmax(axis=1), steps)
-    up = [first(paths >= g) for g in grid]
-    low = [first(paths <= -g) for g in grid]
-    best = (-math.inf, 0.0, 0.0)
-    for i, pt in enumerate(grid):
-        for j, sl in enumerate(grid):
-            end = np.minimum(up[i], low[j])
-            pnl = np.where(end == steps, paths[:, -1], np.where(up[i] <= low[j], pt, -sl))
-            sd = pnl.std()
-            sharpe = pnl.mean() / sd if sd > 0 else 0.0
-            if sharpe > best[0]:
-                best = (sharpe, pt, sl)
-    return best[1], best[2], best[0]
+    return best_cell(cell_sums(paths, grid), len(paths), grid)
 
 
 def replay(price: list[float], act: list[float], pt: list[float], sl: list[float], fee: float, horizon: int, atr_pct: float, liquidate: bool, capital: float = 10_000.0) -> list[tuple]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,3 +51,51 @@ def sequenced(df: DataFrame, order: list[str], part: Column) -> DataFrame:
     offset = sizes.withColumn("_before", F.sum("_n").over(by_symbol("_part")) - F.col("_n")).drop("_n")
     number = F.row_number().over(Window.partitionBy("symbol", "_part").orderBy(*order))
     return rows.withColumn("_k", number).join(offset, ["symbol", "_part"]).withColumn("seq", F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")
+
+
+def scanned(df: DataFrame, keys: list[str], sums: dict[str, Column] | None = None, tops: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, prevs: dict[str, Column] | None = None, order: str = "seq", chunk: int = 50_000) -> DataFrame:
+    """Adds running sums, maxima and last values that aren't null, up to and with each row, and values of the row before (``prevs``), of groups of any length.
+
+    A scan in two levels: each chunk of ``chunk`` numbers of ``order`` (an integer) gives its sum, maximum and last value; only these meet in
+    a frame by ``keys``; rows then add what stands before their chunk to a frame inside it. Null where there is no value so far. The
+    columns' expressions may not hold windows.
+    """
+    sums, tops, lasts, prevs = sums or {}, tops or {}, lasts or {}, prevs or {}
+    rows = df.withColumns({"_chunk": F.floor(F.col(order) / chunk), **{f"_x_{k}": c for k, c in (sums | tops | lasts | prevs).items()}})
+    x = lambda k: F.col(f"_x_{k}")
+    ends = {f"_e_{k}": F.sum(x(k)) for k in sums} | {f"_e_{k}": F.max(x(k)) for k in tops}
+    ends |= {f"_e_{k}": F.max_by(F.when(x(k).isNotNull(), x(k)), F.when(x(k).isNotNull(), F.col(order))) for k in [*lasts, *prevs]}
+    by = rows.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_chunk").alias("_c")).agg(*(c.alias(k) for k, c in ends.items()))
+    up = Window.partitionBy(*(f"_k{i}" for i in range(len(keys)))).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = {**dict.fromkeys(sums, F.sum), **dict.fromkeys(tops, F.max), **dict.fromkeys([*lasts, *prevs], lambda c: F.last(c, ignorenulls=True))}
+    before = by.select(*(f"_k{i}" for i in range(len(keys))), "_c", *(f(f"_e_{k}").over(up).alias(f"_b_{k}") for k, f in kinds.items()))
+    met = F.col("_chunk") == F.col("_c")
+    for i, k in enumerate(keys):
+        met &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = rows.join(before, met)
+    near = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    inside = near.rowsBetween(*running())
+    b = lambda k: F.col(f"_b_{k}")
+    out = {k: F.coalesce(F.sum(x(k)).over(inside) + b(k), F.sum(x(k)).over(inside), b(k)) for k in sums}
+    out |= {k: F.coalesce(F.lag(x(k)).over(near), b(k)) for k in prevs}
+    out |= {k: F.greatest(F.max(x(k)).over(inside), b(k)) for k in tops}
+    out |= {k: F.coalesce(F.last(x(k), ignorenulls=True).over(inside), b(k)) for k in lasts}
+    return rows.withColumns(out).drop("_chunk", "_c", *(f"_k{i}" for i in range(len(keys))), *(f"_{a}_{k}" for a in "xb" for k in kinds))
+
+
+def nth_row(df: DataFrame, nth: Callable[[Column], Column], part: Column) -> DataFrame:
+    """symbol, n (rows), nth_seq and nth_ts of the row number nth(n) (from 0, by seq) of each symbol; null where there is none.
+
+    ``part`` grows with seq (a day, say). Rows are counted by (symbol, part); the part in which the row lies is found in these counts,
+    and only that part's rows are numbered. No frame spans a symbol.
+    """
+    rows = df.select("symbol", "seq", "ts", part.alias("_part"))
+    sizes = rows.groupBy("symbol", "_part").agg(F.count(F.lit(1)).alias("k")).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("_part", "k"))).alias("_sizes"), F.sum("k").alias("n"))
+    want = nth(F.col("n")).cast("bigint")
+    start = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(-1).alias("at"), F.lit(0).alias("i"))
+    found = F.aggregate("_sizes", start, lambda a, s: F.struct(F.when((a["at"] < 0) & (a["before"] + s["k"] <= want), a["before"] + s["k"]).otherwise(a["before"]).alias("before"), F.when((a["at"] < 0) & (a["before"] + s["k"] > want), a["i"]).otherwise(a["at"]).alias("at"), (a["i"] + 1).alias("i")))
+    places = sizes.select("symbol", "n", (want - found["before"]).alias("_left"), F.when(found["at"] >= 0, F.get("_sizes", found["at"])["_part"]).alias("_in"))
+    some = rows.join(places.select(F.col("symbol").alias("_s"), "_in", "_left"), (F.col("symbol") == F.col("_s")) & (F.col("_part") == F.col("_in")))
+    numbered = some.withColumn("_k", F.row_number().over(Window.partitionBy("symbol", "_part").orderBy("seq")) - 1)
+    hit = numbered.filter("_k = _left").select("symbol", F.col("seq").alias("nth_seq"), F.col("ts").alias("nth_ts"))
+    return places.select("symbol", "n").join(hit, "symbol", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.windows import scanned
 
 CAPITAL = 10_000.0
 EPISODE = ["symbol", "win", "agent"]
@@ -44,21 +45,19 @@ def replay(rows: DataFrame, fee: float = 0.0005, horizon: int = 15, atr_pct: flo
 def with_equity(ledger: DataFrame, capital: float = CAPITAL) -> DataFrame:
     """Adds reward (100 times the return, gains half as much again), equity, the equity before, the step's return and drawdown."""
     r = F.when(F.col("prev_value") > 0, (F.col("value") - F.col("prev_value")) / F.col("prev_value")).otherwise(0.0) * 100
-    w = W.partitionBy(*EPISODE).orderBy("step")
-    run = w.rowsBetween(W.unboundedPreceding, 0)
     out = ledger.withColumn("reward", r + F.greatest(r, F.lit(0.0)) * 0.5)
-    out = out.withColumn("equity", F.sum("reward").over(run) + capital)
-    out = out.withColumn("prev_equity", F.coalesce(F.lag("equity").over(w), F.lit(capital)))
-    peak = F.greatest(F.max("equity").over(run), F.lit(capital))
-    return out.withColumns({"ret": F.when(F.col("prev_equity") > 0, F.col("equity") / F.col("prev_equity") - 1).otherwise(0.0), "drawdown": (peak - F.col("equity")) / peak})
+    out = scanned(out, EPISODE, sums={"equity": F.col("reward")}, order="step").withColumn("equity", F.col("equity") + capital)
+    out = scanned(out, EPISODE, tops={"_peak": F.col("equity")}, prevs={"prev_equity": F.col("equity")}, order="step").fillna(capital, ["prev_equity"])
+    peak = F.greatest("_peak", F.lit(capital))
+    out = out.withColumns({"ret": F.when(F.col("prev_equity") > 0, F.col("equity") / F.col("prev_equity") - 1).otherwise(0.0), "drawdown": (peak - F.col("equity")) / peak})
+    return out.drop("_peak")
 
 
 def round_trips(equity: DataFrame) -> DataFrame:
     """Episode, trip number, entry and exit equity, won, of closed round trips."""
-    w = W.partitionBy(*EPISODE).orderBy("step")
-    inside = F.col("shares") > 1e-6
-    rows = equity.withColumn("inside", inside).withColumn("was", F.coalesce(F.lag("inside").over(w), F.lit(False)))
-    rows = rows.withColumn("trip", F.sum(F.when(F.col("inside") & ~F.col("was"), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = equity.withColumn("inside", F.col("shares") > 1e-6)
+    rows = scanned(rows, EPISODE, prevs={"was": F.col("inside")}, order="step").fillna(False, ["was"])
+    rows = scanned(rows, EPISODE, sums={"trip": F.when(F.col("inside") & ~F.col("was"), 1).otherwise(0)}, order="step")
     edge = rows.filter(F.col("inside") != F.col("was"))
     out = edge.groupBy(*EPISODE, "trip").agg(F.max(F.when(F.col("inside"), F.col("prev_equity"))).alias("entry_equity"), F.max(F.when(~F.col("inside"), F.col("equity"))).alias("exit_equity"))
     return out.filter("exit_equity is not null").withColumn("won", F.col("exit_equity") > F.col("entry_equity"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.windows import by_symbol
+from ..functions.windows import scanned
 
 GRID = [0.5 + 0.25 * k for k in range(11)]
 
@@ -65,6 +65,29 @@ def best_for_phi(phis: DataFrame, n_paths: int = 10_000, length: int = 15, seed:
     return phis.select("phi").distinct().repartition(tasks, "phi").mapInPandas(run, "phi double, pt double, sl double")
 
 
+def ar_barriers(noise: DataFrame, phis: list[float], grid: list[float] = GRID) -> DataFrame:
+    """phi, pt, sl, sharpe, best of every cell for a few phis, over a table of noise (eps array, of one length) of any size.
+
+    Paths are p_0 = 0, p_t = phi p_(t-1) + eps_t. Each batch gives its counts and sums of all cells, which add up.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            eps = np.stack([np.asarray(x, float) for x in f["eps"]]) if len(f) else np.empty((0, 1))
+            if len(f):
+                yield pd.concat([pd.DataFrame({"phi": phi, "cell": np.arange(len(grid) ** 2), "n": len(eps), **dict(zip("abcd", kernels.cell_sums(kernels.ar_paths(phi, eps), np.array(grid)).reshape(4, -1), strict=True))}) for phi in phis])
+
+    sums = noise.filter("eps is not null").select("eps").mapInPandas(run, "phi double, cell int, n bigint, a double, b double, c double, d double")
+    sums = sums.groupBy("phi", "cell").agg(*(F.sum(x).alias(x) for x in "nabcd"))
+    levels = F.array(*(F.lit(float(g)) for g in grid))
+    sums = sums.withColumns({"pt": F.get(levels, F.floor(F.col("cell") / len(grid)).cast("int")), "sl": F.get(levels, F.col("cell") % len(grid))})
+    mean = (F.col("a") * F.col("pt") - F.col("b") * F.col("sl") + F.col("c")) / F.col("n")
+    square = (F.col("a") * F.col("pt") * F.col("pt") + F.col("b") * F.col("sl") * F.col("sl") + F.col("d")) / F.col("n")
+    sums = sums.withColumns({"m": mean, "v": square - mean * mean})
+    out = sums.select("phi", "pt", "sl", F.when(F.col("v") > 1e-18, F.col("m") / F.sqrt("v")).otherwise(0.0).alias("sharpe"))
+    return out.withColumn("best", F.row_number().over(W.partitionBy("phi").orderBy(F.round("sharpe", 12).desc(), "pt", "sl")) == 1)  # a few hundred rows a phi
+
+
 def rolling_barriers(df: DataFrame, window: int = 60, step: int = 20, n_paths: int = 10_000, seed: int = 7, digits: int | None = None) -> DataFrame:
     """Adds optimal_pt and optimal_sl to rows (symbol, seq, close): a slice's result holds for the next ``step`` rows, failures take
     the one before, and the head has 2.0. ``digits`` rounds phi, so that fewer values are simulated."""
@@ -72,6 +95,5 @@ def rolling_barriers(df: DataFrame, window: int = 60, step: int = 20, n_paths: i
     fit = fit.withColumn("phi", F.round("phi", digits)) if digits is not None else fit
     found = fit.join(best_for_phi(fit, n_paths, seed=seed), "phi").select("symbol", "start", "pt", "sl")
     rows = df.withColumn("start", F.floor((F.col("seq") - 1) / step) * step).join(found, ["symbol", "start"], "left")
-    frame = by_symbol().rowsBetween(W.unboundedPreceding, 0)
-    fill = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(frame), F.lit(2.0))
-    return rows.withColumns({"optimal_pt": fill("pt"), "optimal_sl": fill("sl")}).drop("start", "pt", "sl")
+    rows = scanned(rows, ["symbol"], lasts={"optimal_pt": F.col("pt"), "optimal_sl": F.col("sl")})
+    return rows.fillna(2.0, ["optimal_pt", "optimal_sl"]).drop("start", "pt", "sl")

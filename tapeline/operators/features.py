@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.windows import by_symbol, rolling, with_halo
+from ..functions.storage import written
+from ..functions.windows import by_symbol, rolling, scanned, with_halo
 
 CHUNK = 20_000  # rows of a symbol that one helper call sees, besides the halo
 
@@ -77,8 +78,7 @@ def sadf(df: DataFrame, min_len: int = 30, window: int = 100) -> DataFrame:
 def ffd(df: DataFrame, d: float, thres: float = 1e-4, narrow: int = 64) -> DataFrame:
     """Fractional difference of the forward-filled close; null for the first rows. Few weights stay in SQL, many are a convolution."""
     w = kernels.ffd_weights(d, thres)
-    fill = F.last("close", ignorenulls=True).over(by_symbol().rowsBetween(-(1 << 31), 0))
-    rows = df.withColumn("close", F.coalesce("close", fill)).filter("close is not null")
+    rows = scanned(df, ["symbol"], lasts={"_fill": F.col("close")}).withColumn("close", F.col("_fill")).drop("_fill").filter("close is not null").select(df.columns)
     if len(w) - 1 > narrow:
         return _chunked(rows, len(w) - 1, lambda y: kernels.ffd(y, w), "ffd")
     past = F.collect_list("close").over(by_symbol().rowsBetween(-(len(w) - 1), 0))
@@ -87,23 +87,58 @@ def ffd(df: DataFrame, d: float, thres: float = 1e-4, narrow: int = 64) -> DataF
     return rows.withColumn("_past", past).withColumn("ffd", F.when(F.size("_past") == len(w), dot)).drop("_past")
 
 
-def adf_test(df: DataFrame, d_grid: list[float], thres: float = 1e-4) -> DataFrame:
-    """symbol, d, n, t, lag, p of the augmented Dickey-Fuller test on each fractional difference; a group is a symbol and a d.
-    Differences with 30 values or fewer have no test."""
-    rows = df.select("symbol", "seq", "close", F.explode(F.array(*(F.lit(float(d)) for d in d_grid))).alias("d"))
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        d = float(f["d"].iat[0])
-        y = kernels.ffd(f.sort_values("seq")["close"].to_numpy(float), kernels.ffd_weights(d, thres))
-        y = y[~np.isnan(y)]
-        t, lag, p = None, None, None
-        if len(y) > 30:
-            t, lag = kernels.adf(y)
-            p = kernels.adf_pvalue(t)
-        return pd.DataFrame({"symbol": [f["symbol"].iat[0]], "d": [d], "n": [len(y)], "t": [t], "lag": pd.array([lag], "Int64"), "p": [p]})
+def adf_test(df: DataFrame, d_grid: list[float], thres: float = 1e-4, lag: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """symbol, d, n, t, lag, p of the augmented Dickey-Fuller test on each fractional difference. The lag has the least AIC, or is given.
+    Differences with 30 values or fewer have no test.
 
+    Rows (symbol, seq from 1 without gaps, close) are dealt to chunks with a halo. A chunk gives the moments of its rows of the regressions
+    with all lags, which add up over chunks in a sum by element; what is solved is one small matrix a symbol and d. Missing closes take
+    the one before.
+    """
+    weights = {float(d): kernels.ffd_weights(d, thres) for d in d_grid}
+    sizes = df.groupBy("symbol").agg(F.max("seq").alias("_rows"))
+    longest = sizes.agg(F.max("_rows")).first()[0] or 0
+    least, most = min(map(len, weights.values())), max(map(len, weights.values()))
+    before = most + max(kernels.adf_lags(max(longest - least + 1, 3)), lag or 0) + 2
     kind = df.schema["symbol"].dataType.simpleString()
-    return rows.groupBy("symbol", "d").applyInPandas(run, f"symbol {kind}, d double, n bigint, t double, lag bigint, p double")
+
+    def moments(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("seq")
+        x, at, out = f["close"].to_numpy(float), f["seq"].to_numpy(np.int64) - 1, []
+        own = f["own"].to_numpy(bool)
+        for d, w in weights.items():
+            n = int(f["_rows"].iat[0]) - len(w) + 1
+            if n <= 30:
+                continue
+            lags = kernels.adf_lags(n) if lag is None else lag
+            y = kernels.ffd(x, w)[len(w) - 1 :]  # values of rows at[len(w) - 1:]
+            rows = kernels.adf_design(y, lags) if len(y) else np.empty((0, lags + 3))
+            mine = rows[own[-len(rows) :]] if len(rows) else rows  # by the row of the next change
+            head = y[: lags + 1] if at[0] == 0 else None
+            out.append((f["symbol"].iat[0], d, n, (mine.T @ mine).ravel(), head))
+        return pd.DataFrame(out, columns=["symbol", "d", "n", "m", "head"])
+
+    def solve(frames):
+        for f in frames:
+            out = []
+            for s, d, n, m, head in f[["symbol", "d", "n", "m", "head"]].itertuples(index=False):
+                m = np.asarray(m, float)
+                side = int(round(len(m) ** 0.5))
+                t, k = kernels.adf_of_moments(m.reshape(side, side), np.asarray(head, float), lag)
+                out.append((s, d, n, t, k, kernels.adf_pvalue(t)))
+            yield pd.DataFrame(out, columns=["symbol", "d", "n", "t", "lag", "p"])
+
+    rows = scanned(df.select("symbol", "seq", "close"), ["symbol"], lasts={"_close": F.when(~F.isnan("close"), F.col("close"))})
+    rows = rows.select("symbol", "seq", F.col("_close").alias("close")).join(sizes, "symbol")
+    parts = with_halo(rows, max(chunk, before), before).groupBy("symbol", "chunk").applyInPandas(moments, f"symbol {kind}, d double, n bigint, m array<double>, head array<double>")
+    parts = written(parts, "adf-moments")
+    sums = parts.select("symbol", "d", "n", F.posexplode("m").alias("k", "x")).groupBy("symbol", "d", "n", "k").agg(F.sum("x").alias("x"))
+    sums = sums.groupBy("symbol", "d", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda r: r["x"]).alias("m"))
+    heads = parts.filter("head is not null").select("symbol", "d", "head")
+    tested = sums.join(heads, ["symbol", "d"]).mapInPandas(solve, f"symbol {kind}, d double, n bigint, t double, lag bigint, p double")
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(len(w)).alias("w")) for d, w in weights.items()))).alias("g")
+    all_ = sizes.select("symbol", "_rows", each).select("symbol", "g.d", F.greatest(F.col("_rows") - F.col("g.w") + 1, F.lit(0)).cast("bigint").alias("n"))
+    return all_.join(tested.drop("n"), ["symbol", "d"], "left").select("symbol", "d", "n", "t", "lag", "p")
 
 
 D_GRID = [k / 10 for k in range(1, 10)]

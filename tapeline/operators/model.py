@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
+from ..functions.windows import by_symbol, in_chunks
+
 CLASSES = (0, 1, 2)
 
 
@@ -24,6 +27,34 @@ def split_random(df: DataFrame, bucket: Column | None = None, seed: int = 42) ->
     return df.withColumn("part", F.when(b < 20, "test").when(b < 36, "calibration").otherwise("train"))
 
 
+def label_spans(df: DataFrame, horizon: int = 15, chunk: int = 50_000) -> DataFrame:
+    """Adds until: the time of the last row that a row's label looks at, ``horizon`` rows ahead or the symbol's last."""
+    ahead = lambda rows: rows.withColumn("until", F.last("ts").over(by_symbol().rowsBetween(0, horizon)))
+    return in_chunks(df, ahead, max(chunk, horizon), after=horizon)
+
+
+def purged_folds(df: DataFrame, folds: int = 5) -> DataFrame:
+    """symbol, seq, fold, part of rows (symbol, seq, ts, until), for each fold: its rows are test, and the others train unless their label
+    looks into the test span or the span lies in theirs.
+
+    Folds are spans of whole days with about equally many rows over all symbols. Spans are a row a fold, so the anti-join is with a
+    constant number of rows; nothing is ordered but the counts by day.
+    """
+    days = df.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("k"))
+    days = days.withColumn("one", F.lit(1)).withColumn("before", F.coalesce(F.sum("k").over(W.partitionBy("one").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a day
+    n = F.sum("k").over(W.partitionBy("one"))
+    days = written(days.select("day", F.floor(F.col("before") * folds / n).cast("int").alias("fold")), "days")
+    rows = df.withColumn("day", F.to_date("ts")).join(days, "day").select("symbol", "seq", "ts", "until", "fold")
+    spans = written(rows.groupBy("fold").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")), "spans")
+    test = rows.select("symbol", "seq", "fold", F.lit("test").alias("part"))
+    each = rows.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter("of <> fold")
+    spans = F.broadcast(spans.withColumnRenamed("fold", "of_"))  # ``folds`` rows
+    train = each.join(spans, (F.col("of") == F.col("of_")) & (F.col("ts") <= F.col("hi")) & (F.col("until") >= F.col("lo")), "left_anti")
+    some = spans.select(F.col("of_").alias("of"))
+    train = train.join(some, "of", "left_semi").select("symbol", "seq", F.col("of").alias("fold"), F.lit("train").alias("part"))
+    return test.unionByName(train)
+
+
 def _rest(df: DataFrame, cls: int) -> DataFrame:
     return df.withColumn("_y", (F.col("cls") == cls).cast("double"))
 

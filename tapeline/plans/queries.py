@@ -192,12 +192,15 @@ def sadf(spark, sf_dir):
     return features.sadf(tapes.event_bars(spark, sf_dir)).select("symbol", "seq", r("sadf", 5))
 
 
-def _ffd_sql(d: float) -> str:
+def _ffd_rows(d: float) -> str:
     w = kernels.ffd_weights(d)
     last_first = ", ".join(f"{x!r}::DOUBLE" for x in reversed(w))
     return f"""{EVENT_BARS}, past AS (SELECT symbol, seq, list(close) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN {len(w) - 1} PRECEDING AND CURRENT ROW) AS y FROM bars),
-full_past AS (SELECT symbol, seq, y FROM past WHERE len(y) = {len(w)}), f AS (SELECT symbol, seq, list_dot_product(y, [{last_first}]) AS y FROM full_past)
-SELECT symbol, seq, round(y, 6) AS ffd FROM bars LEFT JOIN f USING (symbol, seq)"""
+full_past AS (SELECT symbol, seq, y FROM past WHERE len(y) = {len(w)}), f AS (SELECT symbol, seq, list_dot_product(y, [{last_first}]) AS y FROM full_past)"""
+
+
+def _ffd_sql(d: float) -> str:
+    return f"{_ffd_rows(d)} SELECT symbol, seq, round(y, 6) AS ffd FROM bars LEFT JOIN f USING (symbol, seq)"
 
 
 @query(_ffd_sql(0.4))
@@ -215,6 +218,25 @@ def adf_test(spark, sf_dir):
     return features.adf_test(tapes.event_bars(spark, sf_dir), features.D_GRID).select("symbol", "d", "n", r("t"), "lag", r("p"))
 
 
+def _adf_sql(d: float) -> str:
+    """Two lags by the normal equations of centred columns (Cramer's rule)."""
+    names = ("y", "a", "b")
+    cov = lambda p, q: f"covar_pop({p}, {q}) * count(*)"
+    cells = ", ".join(f"{cov(p, q)} AS s{p}{q}" for i, p in enumerate(names) for q in names[i:]) + ", " + ", ".join(f"{cov(p, 'z')} AS c{p}" for p in names)
+    return f"""v AS (SELECT symbol, seq, y AS w, lag(y) OVER o AS y0, lag(y, 2) OVER o AS y1, lag(y, 3) OVER o AS y2, count(*) OVER (PARTITION BY symbol) AS n FROM f WINDOW o AS (PARTITION BY symbol ORDER BY seq)),
+x AS (SELECT symbol, n, w - y0 AS z, y0 AS y, y0 - y1 AS a, y1 - y2 AS b FROM v WHERE y2 IS NOT NULL),
+s AS (SELECT symbol, any_value(n) AS n, count(*) AS m, covar_pop(z, z) * count(*) AS szz, {cells} FROM x GROUP BY 1),
+i AS (SELECT *, saa * sbb - sab * sab AS kyy, sab * syb - sya * sbb AS kya, sya * sab - saa * syb AS kyb, syy * sbb - syb * syb AS kaa, sya * syb - syy * sab AS kab, syy * saa - sya * sya AS kbb FROM s),
+t AS (SELECT *, syy * kyy + sya * kya + syb * kyb AS det FROM i),
+u AS (SELECT *, (kyy * cy + kya * ca + kyb * cb) / det AS b1, (kya * cy + kaa * ca + kab * cb) / det AS b2, (kyb * cy + kab * ca + kbb * cb) / det AS b3 FROM t)
+SELECT symbol, CAST({d} AS DOUBLE) AS d, n, round(b1 / sqrt((szz - b1 * cy - b2 * ca - b3 * cb) / (m - 4) * kyy / det), 6) AS t FROM u WHERE n > 30"""
+
+
+@query(f"{_ffd_rows(0.9)}, {_adf_sql(0.9)}")
+def adf_two_lags(spark, sf_dir):
+    return features.adf_test(tapes.event_bars(spark, sf_dir), [0.9], lag=2, chunk=400).filter("t is not null").select("symbol", "d", "n", r("t"))  # several chunks a symbol
+
+
 @query()
 def min_ffd(spark, sf_dir):
     return features.min_ffd(tapes.event_bars(spark, sf_dir))
@@ -251,6 +273,23 @@ def barrier_grid(spark, sf_dir):
     return barriers.barrier_grid(embedding_paths(spark, sf_dir), 0.125).select("pt", "sl", r("sharpe"), "best")
 
 
+PHIS = [-0.5, 0.0, 0.3, 0.7, 0.95]
+
+
+@query(f"""WITH q AS (SELECT unnest({PHIS}) AS phi), e AS (SELECT vec_id, list_transform(embedding[1:14], lambda x: CAST(x AS DOUBLE) * 8) AS eps FROM embeddings),
+p AS (SELECT phi, vec_id, list_transform(range(0, 15), lambda t: coalesce(list_sum(list_transform(range(1, t + 1), lambda s: pow(phi, t - s) * eps[s])), 0.0)) AS p FROM e, q),
+g AS (SELECT CAST(0.5 + 0.25 * a AS DOUBLE) AS pt, CAST(0.5 + 0.25 * b AS DOUBLE) AS sl FROM range(11) x(a), range(11) y(b)),
+h AS (SELECT phi, pt, sl, p, list_position(list_transform(p, lambda x: x >= pt), true) AS up, list_position(list_transform(p, lambda x: x <= -sl), true) AS low FROM p, g),
+n AS (SELECT phi, pt, sl, CASE WHEN coalesce(up, 0) > 0 AND (coalesce(low, 0) = 0 OR up < low) THEN pt WHEN coalesce(low, 0) > 0 THEN -sl ELSE p[15] END AS pnl FROM h),
+s AS (SELECT phi, pt, sl, CASE WHEN stddev_pop(pnl) > 1e-9 THEN avg(pnl) / stddev_pop(pnl) ELSE 0 END AS sharpe FROM n GROUP BY 1, 2, 3)
+SELECT CAST(phi AS DOUBLE) AS phi, pt, sl, round(sharpe, 6) + 0.0 AS sharpe, row_number() OVER (PARTITION BY phi ORDER BY round(sharpe, 12) DESC, pt, sl) = 1 AS best FROM s""")
+def ar_barriers(spark, sf_dir):
+    """Barriers of autoregressive paths whose noise is the embeddings' first values, of deviation 1."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    noise = e.select(F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 14), lambda x: x * 8).alias("eps"))
+    return barriers.ar_barriers(noise, PHIS).select("phi", "pt", "sl", r("sharpe"), "best")
+
+
 @query()
 def rolling_barriers(spark, sf_dir):
     return barriers.rolling_barriers(tapes.event_bars(spark, sf_dir)).select("symbol", "seq", "optimal_pt", "optimal_sl")
@@ -307,7 +346,30 @@ def feature_cov(spark, sf_dir):
     return cov.select("symbol", *(r(f"cov_{i}_{j}", 5) for i, j in PAIRS))
 
 
-@query()
+def _pca_sql() -> str:
+    """Jacobi rotations of the four features' correlations, one a step; the same scores from the vectors."""
+    m = [f"covar_samp({COLS[min(i, j)]}, {COLS[max(i, j)]}) / {sd(COLS[i])} / {sd(COLS[j])}" for i in range(4) for j in range(4)]
+    cols = "CASE WHEN j = q THEN s * {m}[i * 4 + p + 1] + c * {m}[i * 4 + q + 1] WHEN j = p THEN c * {m}[i * 4 + p + 1] - s * {m}[i * 4 + q + 1] ELSE {m}[i * 4 + j + 1] END"
+    cells = lambda f: f"list_transform(range(16), lambda k: {f.replace('i *', '(k // 4) *').replace('j', '(k % 4)')})"
+    rows = "CASE WHEN (k // 4) = q THEN s * h[p * 4 + k % 4 + 1] + c * h[q * 4 + k % 4 + 1] WHEN (k // 4) = p THEN c * h[p * 4 + k % 4 + 1] - s * h[q * 4 + k % 4 + 1] ELSE h[k + 1] END"
+    scaled = ", ".join(f"({c} - avg({c}) FILTER (split = 'train') OVER w) / coalesce(nullif(stddev_pop({c}) FILTER (split = 'train') OVER w, 0), 1) AS z{k}" for k, c in enumerate(COLS))
+    score = ", ".join("round(" + " + ".join(f"z{j} * v[{k + 1}][{j + 1}]" for j in range(4)) + f", 6) + 0.0 AS pca_{k + 1}" for k in range(4))
+    return f"""{FEATURE_ROWS}, start AS (SELECT symbol, [{", ".join(m)}] AS a, [1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1]::DOUBLE[] AS v FROM parts WHERE split = 'train' GROUP BY 1),
+jac AS (SELECT symbol, 0 AS step, a::DOUBLE[] AS a, v FROM start UNION ALL
+  SELECT symbol, step + 1, {f"list_transform(range(16), lambda k: {rows})"}, v FROM (
+    SELECT symbol, step, p, q, c, s, {cells(cols.format(m="a"))} AS h, {cells(cols.format(m="v"))} AS v FROM (
+      SELECT *, 1 / sqrt(1 + t * t) AS c, t / sqrt(1 + t * t) AS s FROM (
+        SELECT *, CASE WHEN a[p * 4 + q + 1] = 0 THEN 0 ELSE CASE WHEN tau < 0 THEN -1 ELSE 1 END / (abs(tau) + sqrt(1 + tau * tau)) END AS t FROM (
+          SELECT *, (a[q * 5 + 1] - a[p * 5 + 1]) / nullif(2 * a[p * 4 + q + 1], 0) AS tau FROM (
+            SELECT *, [0, 0, 0, 1, 1, 2][step % 6 + 1] AS p, [1, 2, 3, 2, 3, 3][step % 6 + 1] AS q FROM jac WHERE step < 48)))))),
+vec AS (SELECT symbol, a[k * 5 + 1] AS value, [v[k + 1], v[k + 5], v[k + 9], v[k + 13]] AS e FROM jac, unnest(range(4)) AS u(k) WHERE step = 48),
+sgn AS (SELECT symbol, value, list_transform(e, lambda x: x * CASE WHEN list_max(list_transform(e, lambda y: abs(y))) = list_max(e) THEN 1 ELSE -1 END) AS e FROM vec),
+rot AS (SELECT symbol, list(e ORDER BY value DESC) AS v FROM sgn GROUP BY 1),
+z AS (SELECT symbol, seq, split, {scaled} FROM parts WINDOW w AS (PARTITION BY symbol))
+SELECT symbol, seq, split, {score} FROM z JOIN rot USING (symbol)"""
+
+
+@query(_pca_sql())
 def pca_scores(spark, sf_dir):
     rows = feature_rows(spark, sf_dir)
     scaled = prepare.apply_scaler(rows, prepare.fit_scaler(rows, COLS), COLS)
@@ -357,6 +419,16 @@ def training_split(spark, sf_dir):
     return model.split_random(rows, F.pmod(F.col("symbol") * 31 + F.col("seq") * 7919, F.lit(100))).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""{LINEITEM_BARS}, sp AS (SELECT symbol, seq, ts, last_value(ts) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS until FROM bars),
+dy AS (SELECT CAST(ts AS DATE) AS day, count(*) AS k FROM sp GROUP BY 1), df AS (SELECT day, CAST(floor(coalesce(sum(k) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 5 / sum(k) OVER ()) AS INTEGER) AS fold FROM dy),
+fr AS (SELECT sp.*, fold FROM sp JOIN df ON CAST(sp.ts AS DATE) = df.day), spans AS (SELECT fold, min(ts) AS lo, max(ts) AS hi FROM fr GROUP BY 1),
+tr AS (SELECT symbol, seq, s.fold FROM fr JOIN spans s ON fr.fold <> s.fold AND NOT (fr.ts <= s.hi AND fr.until >= s.lo))
+SELECT fold, symbol, part, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM (SELECT fold, symbol, seq, 'test' AS part FROM fr UNION ALL SELECT fold, symbol, seq, 'train' FROM tr) GROUP BY 1, 2, 3""")
+def purged_folds(spark, sf_dir):
+    rows = model.purged_folds(model.label_spans(tapes.lineitem_bars(spark, sf_dir).select("symbol", "seq", "ts")))
+    return rows.groupBy("fold", "symbol", "part").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
 PCA = ["pca_1", "pca_2", "pca_3", "pca_4"]
 
 

@@ -77,3 +77,34 @@ def test_reset_scan_carries_over():
     a = k.reset_scan(dv[:3], bar[:3], 150, 0, 0)
     b = k.reset_scan(dv[3:], bar[3:], 150, a[2], a[3])
     assert a[0] + b[0] == [0, 0, 1, 1, 2]
+
+
+def test_hit_time_sums_give_the_cells_of_single_passes():
+    grid = np.array([0.5 + 0.25 * g for g in range(11)])
+    eps = k.noise(2000, 15, 3)
+    for phi in (-1.1, -0.4, 0.0, 0.6, 0.99, 1.3):
+        paths = k.ar_paths(phi, eps)
+        want = {}
+        for pt in grid:
+            for sl in grid:
+                pnl = []
+                for p in paths[:300]:
+                    hit = next((pt if x >= pt else -sl for x in p if x >= pt or x <= -sl), p[-1])
+                    pnl.append(hit)
+                want[pt, sl] = np.mean(pnl) / np.std(pnl) if np.std(pnl) > 1e-9 else 0.0
+        sums = k.cell_sums(paths[:300], grid)
+        pt, sl, sharpe = k.best_cell(sums, 300, grid)
+        assert abs(sharpe - max(want.values())) < 1e-9 and abs(want[pt, sl] - sharpe) < 1e-9
+        assert np.allclose(k.cell_sums(paths, grid), k.cell_sums(paths[:700], grid) + k.cell_sums(paths[700:], grid))
+
+
+def test_adf_of_moments_equals_least_squares():
+    rng = np.random.default_rng(0)
+    for n in (31, 60, 200, 2500):
+        for y in (np.cumsum(rng.normal(size=n)), rng.normal(size=n) + 50, np.cumsum(rng.normal(size=n)) * 0.1 + rng.normal(size=n)):
+            lags = k.adf_lags(n)
+            rows = k.adf_design(y, lags)
+            parts = [r.T @ r for r in np.array_split(rows, 4)]
+            t, lag = k.adf_of_moments(sum(parts), y[: lags + 1])
+            want = k.adf(y)
+            assert lag == want[1] and abs(t - want[0]) < 1e-6 * max(1, abs(t))
