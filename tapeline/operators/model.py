@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -72,11 +72,32 @@ class Classifier:
             out = _margin(self.trees[k], out, k)
             a, b = self.sigmoids[k]
             out = out.withColumn(f"_q{k}", 1 / (1 + F.exp(-(F.lit(a) * F.col(f"_m{k}") + F.lit(b)))))
-        total = sum((F.col(f"_q{k}") for k in CLASSES), F.lit(0.0))
+        total = sum((F.col(f"_q{k}") for k in CLASSES), F.lit(0.0))  # above 0, whatever the margins
         out = out.withColumn("probs", F.array(*(F.col(f"_q{k}") / total for k in CLASSES)))
         return out.drop("_x", *(f"_{c}{k}" for c in "mq" for k in CLASSES))
 
 
+    def save(self, path: str, matrices: DataFrame | None = None) -> None:
+        """Write the trees, the sigmoids and (if given) the matrices that scale and rotate the features, as one folder that must not exist."""
+        for k in CLASSES:
+            self.trees[k].save(f"{path}/trees-{k}")
+        spark = SparkSession.active()
+        rows = [(k, *self.sigmoids[k], self.features) for k in CLASSES]
+        if matrices is not None:
+            matrices.write.parquet(f"{path}/matrices")
+        spark.createDataFrame(rows, "cls int, a double, b double, features array<string>").coalesce(1).write.parquet(f"{path}/sigmoids")  # last: a folder that has it is whole
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> tuple[Classifier, DataFrame | None]:
+        """The classifier and the matrices that ``save`` wrote; None where it had none."""
+        rows = sorted(spark.read.parquet(f"{path}/sigmoids").collect(), key=lambda r: r["cls"])
+        trees = [GBTClassificationModel.load(f"{path}/trees-{k}") for k in CLASSES]
+        there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/matrices")
+        fs = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        matrices = spark.read.parquet(f"{path}/matrices") if fs.exists(there) else None
+        return Classifier(rows[0]["features"], trees, [(r["a"], r["b"]) for r in rows]), matrices
+
+
 def _margin(tree, df: DataFrame, k: int) -> DataFrame:
     out = tree.setFeaturesCol("_x").setPredictionCol(f"_p{k}").setRawPredictionCol(f"_r{k}").setProbabilityCol(f"_b{k}").transform(df)
     return out.withColumn(f"_m{k}", vector_to_array(f"_r{k}")[1]).drop(f"_p{k}", f"_r{k}", f"_b{k}")

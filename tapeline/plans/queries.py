@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.storage import written
+from ..functions.storage import folder, written
 from ..functions.windows import in_chunks
 from ..operators import backtest as bt
 from ..operators import bars, barriers, features, labels, model, pbo, prepare, telemetry
 from ..sources import io
-from . import dataset, tapes
+from . import dataset, streams, tapes
 from .streams import STREAMS
 from .tapes import EVENT_BARS, LINEITEM_BARS, SIGNALS, THRESHOLD, TICKS_E, TICKS_L
 
@@ -454,6 +454,33 @@ def latest_signals(spark, sf_dir):
     return model.latest_signals(model.score(fitted.transform(dataset.rotate(newest, matrices))))
 
 
+@query()
+def latest_signals_time(spark, sf_dir):
+    """The newest hourly bar of each symbol, scored by the model of the dollar bars as it was saved and loaded again."""
+    matrices, _, fitted = _trained(spark, sf_dir)
+    path = folder(spark, "model")
+    fitted.save(path, matrices)
+    loaded, stored = model.Classifier.load(spark, path)
+    newest = dataset.newest(prepare.complete_rows(dataset.with_features(tapes.event_hours(spark, sf_dir))))
+    return model.latest_signals(model.score(loaded.transform(dataset.rotate(newest, stored))))
+
+
+@query()
+def stream_model_signals(spark, sf_dir):
+    """The newest bar of each symbol after the tape's bars have gone through a stream of features, matrices and the model."""
+    matrices, _, fitted = _trained(spark, sf_dir)
+    return streams.scored_stream(tapes.event_bars(spark, sf_dir), fitted, matrices)
+
+
+_FEATURES = " JOIN ".join([f"({ORACLE['vpin']}) AS v", *(f"({ORACLE[x]}) AS {x}_ USING (symbol, seq)" for x in ("amihud", "kyles_lambda", "sadf"))])
+
+
+@query(f"SELECT symbol, seq, vpin, amihud, kyles_lambda, sadf FROM {_FEATURES}")
+def stream_features(spark, sf_dir):
+    rows = streams.stream_features(spark, sf_dir)
+    return rows.select("symbol", "seq", r("vpin", 8), r("amihud", 6, scale=1e6), r("kyles_lambda", 6, scale=1e6), r("sadf", 5))
+
+
 @query()
 def feature_build(spark, sf_dir):
     """Rows of the whole dataset: four scores, barriers and the fractional close, by symbol and split."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import by_symbol, sequenced
 from ..operators import bars
+from ..sources import io
 
 
 def tape_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,12 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.dollar_bars(tape_events(spark, sf_dir), chunk_rows=1_000_000)  # a symbol grows with the data
 
 
+def event_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars, numbered by time."""
+    hours = io.time_bars(tape_events(spark, sf_dir)).select("symbol", "ts", "open", "high", "low", "close", "volume")
+    return sequenced(hours, ["ts"], F.to_date("ts"))
+
+
 def lineitem_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.dollar_bars(tape_lineitem(spark, sf_dir))
 
