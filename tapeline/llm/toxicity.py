@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bucket, discard, documents, text_key, through_python, written
+from .simhash import shingle_hashes, split_words
 
 #: Most texts with a vote, and as many without one, that the classifier is fitted on.
 SAMPLE = 30_000
-#: Lexicon: share of toxic texts among those with a token; expected number of tokens that chance puts in; letters of a beginning.
-PRECISION, CHANCE, BEGINNING = 0.9, 0.01, 5
+#: Lexicon: share of toxic texts among those with a token; expected number of tokens that chance puts in, and into the voters of weak tokens; letters of a beginning.
+PRECISION, CHANCE, WEAK_CHANCE, BEGINNING = 0.9, 0.01, 3, 5
+#: Marks weak tokens; no token has it.
+WEAK = "?"
 #: How much the labelled rates weigh beside those that each round finds in the votes. Without any, rates drift from the true ones.
 ANCHOR = 0.5
 STRIPES = 10  # voters that the words are dealt to, and as many for beginnings
@@ -42,7 +45,7 @@ PATTERNS = {
     "shouting": re.compile(r"!{2,}"),
     "spelled": re.compile(r"(?<!\w)(?:[a-z][ .\-]){4,}[a-z](?!\w)"),
 }
-N_VOTERS = 2 * STRIPES + len(PATTERNS)
+N_VOTERS = 2 * STRIPES + len(PATTERNS) + 2  # weak words and weak beginnings are the last two
 
 
 def stripe(token: str) -> int:
@@ -65,13 +68,14 @@ def training_labels(labels: DataFrame) -> DataFrame:
 def learn_lexicon(labelled: DataFrame) -> list[str]:
     """Tokens that stand in toxic texts far more often than chance lets expect; labelled: (toxic, text), all of them counted.
 
-    Texts whose two smallest word hashes are equal count once, so that near copies of a text don't make its words toxic. A token needs
-    at least ``PRECISION`` of its texts toxic, and evidence (count times divergence from the base rate) that leaves ``CHANCE`` tokens
-    expected by chance among all tokens, so the bar rises with the vocabulary. Every token above the bar is taken.
+    Texts whose smallest hashes of four words in a row are equal count once, so that near copies of a text don't make its words toxic; other
+    texts hardly share four words. A token needs at least ``PRECISION`` of its texts toxic, and evidence (count times divergence from the
+    base rate) that leaves ``CHANCE`` tokens expected by chance among all tokens. Tokens with less evidence, of which ``WEAK_CHANCE`` are expected by
+    chance, are marked ``WEAK``: they vote apart, so that the label model gives them an accuracy of their own.
     """
-    rows = labelled.filter("text is not null").select("toxic", tokens_column().alias("tokens"))
-    hashes = F.array_sort(F.transform("tokens", lambda x: F.xxhash64(x)))
-    rows = written(rows.withColumn("sig", F.xxhash64(F.slice(hashes, 1, 2))), "toxic-labelled")
+    rows = labelled.filter("text is not null").select("toxic", tokens_column().alias("tokens"), split_words(F.col("text")).alias("w"))
+    rows = rows.select("toxic", "tokens", F.coalesce(F.array_min(shingle_hashes("w", 4)), F.lit(0).cast("bigint")).alias("sig"))
+    rows = written(rows, "toxic-labelled")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.countDistinct("sig").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
@@ -82,11 +86,13 @@ def learn_lexicon(labelled: DataFrame) -> list[str]:
     many = written(found.filter("k >= 4"), "toxic-often")  # a table of its own, so that Spark knows its size before the clean texts' tokens move
     clean = each(0).join(many.select("token"), "token", "left_semi").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     both = many.join(clean, "token", "left").withColumn("n", F.col("k") + F.coalesce("c", F.lit(0)))
-    base, need = bad / (bad + good), math.log(max(found.count(), 1) / CHANCE)
+    base, n = bad / (bad + good), max(found.count(), 1)
+    need, least = math.log(n / CHANCE), math.log(n / WEAK_CHANCE)
     q = F.col("k") / F.col("n")
     gain = F.col("k") * F.log(q / base) + F.when(q < 1, (F.col("n") - F.col("k")) * F.log((1 - q) / (1 - base))).otherwise(0.0)
-    best = both.filter((F.col("k") / (F.col("n") + 0.1) >= PRECISION) & (gain >= need))
-    out = sorted(r["token"] for r in best.select("token").collect())
+    best = both.filter((F.col("k") / (F.col("n") + 0.1) >= PRECISION) & (gain >= least))
+    best = best.select(F.when(gain >= need, F.col("token")).otherwise(F.concat(F.lit(WEAK), "token")).alias("token"))
+    out = sorted(r["token"] for r in best.collect())
     discard(rows, found, many)
     return out
 
@@ -97,8 +103,9 @@ class Voters:
     AMOUNTS = ("found", "share", "length")
 
     def __init__(self, lexicon: list[str]) -> None:
-        self.words = {t: stripe(t) for t in lexicon if not t.endswith("*")}
-        self.beginnings = {t[:-1]: STRIPES + stripe(t) for t in lexicon if t.endswith("*")}
+        place = lambda t, first, weak: weak if t.startswith(WEAK) else first + stripe(t)
+        self.words = {t.removeprefix(WEAK): place(t, 0, N_VOTERS - 2) for t in lexicon if not t.endswith("*")}
+        self.beginnings = {t[:-1].removeprefix(WEAK): place(t, STRIPES, N_VOTERS - 1) for t in lexicon if t.endswith("*")}
 
     def __call__(self, text: str) -> tuple[int, int, int, int]:
         """votes, words found, words with a found beginning, words."""
