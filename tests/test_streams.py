@@ -93,7 +93,7 @@ def test_saved_model_scores_alike_in_batch_and_stream(spark, some_bars):
 def test_dataset_build_against_single_steps(spark, some_bars, fit_on):
     """The composed build, column by column against its operators on plain windows, and d fitted on the side that was asked for."""
     rng = np.random.default_rng(6)
-    close = 100 + np.cumsum(rng.normal(size=1400))
+    close = 500 + np.cumsum(rng.integers(-2, 3, 1400))  # with bars that don't move
     more = [("long", k + 1, START + dt.timedelta(hours=k), *(float(c),) * 4, float(rng.integers(1, 50))) for k, c in enumerate(close)]
     bars_of = some_bars.filter("symbol = 'short'").unionByName(spark.createDataFrame(more, stream.BARS))
     rows, matrices = dataset.build(bars_of, fit_on)
@@ -120,6 +120,7 @@ def test_dataset_build_against_single_steps(spark, some_bars, fit_on):
         x = np.array([[feats[s, k][c] for c in prepare.FEATURES] for k in mine])
         t = x[: len(train)]
         z = (x - t.mean(axis=0)) / t.std(axis=0)
+        assert (t.std(axis=0) > 0).all() and len(train) > 100
         value, vector = np.linalg.eigh(np.cov(z[: len(train)].T))
         v = vector[:, ::-1].T
         v = v * np.sign(v[np.arange(4), np.abs(v).argmax(axis=1)])[:, None]
