@@ -124,8 +124,8 @@ def maybe_listed(rows: DataFrame, key: str, listed: DataFrame, listed_key: str)
 
 
 def texts_of(df: DataFrame, id_col: str, text_col: str, ends: DataFrame) -> DataFrame:
-    """node, t of ``ends`` (a table of node, id, text_key): one or, where rows repeat an id and its text, more rows a node. Few other texts are shuffled."""
-    rows = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("t"))
-    ends = ends.select("node", F.col("id").alias("_id"), F.col("text_key").alias("_key"))
-    rows = maybe_listed(rows, "text_key", ends, "_key")
-    return rows.join(ends, (rows["text_key"] == ends["_key"]) & rows["id"].eqNullSafe(ends["_id"])).select("node", "t")
+    """The rows of ``ends`` (a table of node, id, text_key and more) with t, their text, for id and text_key: where rows repeat an id and its text, more
+    than one a node. Few other texts are shuffled."""
+    rows = df.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).alias("t"))
+    rows = maybe_listed(rows, "_key", ends, "text_key")
+    return ends.join(rows, (rows["_key"] == ends["text_key"]) & rows["_id"].eqNullSafe(ends["id"])).drop("_id", "_key", "id", "text_key")

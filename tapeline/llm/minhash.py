@@ -131,12 +131,11 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = nodes.select("node", F.posexplode("bands").alias("i", "band")).select(F.xxhash64("i", "band").alias("bucket"), "node")
 
     def sets(wanted: DataFrame) -> DataFrame:
-        ends = written(nodes.join(wanted.select("node"), "node", "left_semi").select("node", "id", "text_key"), "ends")
-        found = texts_of(df, id_col, text_col, ends).select("node", split_words(F.col("t")).alias("w")).select("node", set_of("w", words).alias("s"))
-        return found.groupBy("node").agg(F.first("s").alias("s"))
+        ends = written(wanted.join(nodes.select("node", "id", "text_key"), "node"), "ends")
+        return texts_of(df, id_col, text_col, ends).withColumn("w", split_words(F.col("t"))).drop("t").withColumn("s", set_of("w", words)).drop("w")
 
-    candidates = written(bucket_forest(keyed, nodes, ["n", "sketch"], sketch_test), "candidates")
-    roots = linked_components(candidates, sets)
+    candidates = bucket_forest(keyed, nodes, ["n", "sketch"], sketch_test)
+    roots = linked_components(candidates, nodes, sets)
     placed = written(nodes.join(roots, "node", "left").select("k1", "k2", "id", F.coalesce("root", "node").alias("root")), "placed")
     # a table, so that both sides of the join are plain shuffles and adaptive execution can split a component with very many sets
     of = written(placed.groupBy("root").agg(F.min("id").alias("component_id")), "least")  # min passes over nulls

@@ -19,7 +19,7 @@ from .simhash import components
 #: Sets of a bucket that one task compares with as many; runs up to SHORT are compared row by row.
 CHUNK, SHORT = 1024, 16
 #: Sets and shingles of a cluster's piece.
-PIECE, PIECE_VALUES = 512, 1 << 19
+PIECE, PIECE_VALUES = 512, 1 << 21
 #: Two sets link if they share so much of their union.
 SHARE = (4, 5)
 
@@ -138,18 +138,36 @@ def edge_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
 
-def bucket_forest(keyed: DataFrame, nodes: DataFrame, features: list[str], test_of: Callable[[pa.RecordBatch], Callable], chunk: int = CHUNK) -> DataFrame:
+def bucket_forest(keyed: DataFrame, nodes: DataFrame, features: list[str], test_of: Callable[[pa.RecordBatch], Callable], chunk: int = CHUNK, short: int = SHORT) -> DataFrame:
     """Edges (u, v) between nodes that share a bucket and pass a test; their components are those of all such pairs.
 
-    ``keyed`` (a table): bucket, node. ``nodes``: node and the ``features`` that ``test_of`` reads from a batch to give the test of row
-    numbers. Only buckets of two or more are joined with the features. A bucket of over ``chunk`` nodes is dealt to pairs of chunks.
+    ``keyed``: bucket, node. ``nodes``: node and the ``features`` that ``test_of`` reads from a batch (columns 0 to 2 are others) to give the test of row
+    numbers. Buckets of at most ``short`` nodes give their pairs as numbers, each pair once over all buckets, before any feature
+    moves. In larger ones each node brings its features; one of over ``chunk`` nodes is dealt to pairs of chunks.
     """
     shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    rows = keyed.join(shared, "bucket")
+    rows = written(keyed.join(shared, "bucket"), "shared-buckets")
+
+    group = rows.filter(F.col("k") <= short).groupBy("bucket").agg(F.collect_list("node").alias("x"))  # at most ``short`` each
+    later = lambda x, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda y: F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")))
+    pairs = group.select(F.explode(F.flatten(F.transform("x", later))).alias("p")).select("p.u", "p.v").filter("u <> v").distinct()
+    side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(f).alias(f"{f}_{c}") for f in features))
+    pairs = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", *(f"{f}_{c}" for c in "uv" for f in features))
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.num_rows, len(features)
+            u, v = batch.column(0), batch.column(1)
+            both = [pa.concat_arrays([u, v])] * 3 + [pa.concat_arrays([batch.column(2 + i), batch.column(2 + m + i)]) for i in range(m)]
+            keep = test_of(pa.RecordBatch.from_arrays(both, names=["a", "b", "c", *features]))(np.arange(n), np.arange(n) + n) if n else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(keep))
+
+    few = pairs.mapInArrow(tested, "u bigint, v bigint")
+
     chunks = F.ceil(F.col("k") / chunk).cast("int")
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    large = rows.filter(F.col("k") > short).withColumn("c", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
     place = (F.least("c", "o").cast("bigint") * (1 << 24) + F.greatest("c", "o")).alias("place")
-    rows = rows.select("bucket", place, "node").join(nodes.select("node", *features), "node").select("bucket", "place", "node", *features)
+    large = large.select("bucket", place, "node").join(nodes.select("node", *features), "node").select("bucket", "place", "node", *features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in whole_groups(batches, 2):
@@ -157,7 +175,10 @@ def bucket_forest(keyed: DataFrame, nodes: DataFrame, features: list[str], test_
             node = batch.column(2).to_numpy()
             yield edge_batch(node[a], node[b])
 
-    return rows.repartition("bucket", "place").sortWithinPartitions("bucket", "place", "node").mapInArrow(run, "u bigint, v bigint").distinct()
+    many = large.repartition("bucket", "place").sortWithinPartitions("bucket", "place", "node").mapInArrow(run, "u bigint, v bigint")
+    out = written(few.unionByName(many).distinct(), "candidates")
+    discard(rows)
+    return out
 
 
 class Sets:
@@ -190,20 +211,22 @@ class Sets:
         return out
 
 
-def linked_components(edges: DataFrame, sets: Callable[[DataFrame], DataFrame], piece: int = PIECE) -> DataFrame:
+def linked_components(edges: DataFrame, sizes: DataFrame, sets: Callable[[DataFrame], DataFrame], piece: int = PIECE) -> DataFrame:
     """node, root (the smallest node) of every node with a link: pairs inside a component of the candidate ``edges`` that share ``SHARE``.
 
-    ``sets`` takes a table with a column node and gives (node, s), the distinct non-empty values of each. A cluster of sets is dealt to
-    pieces of about ``piece`` sets (fewer if they are long). Each piece is compared within itself and with the cluster's first piece.
+    ``sizes``: node, n (values of its set). ``sets`` takes a table with a column node and adds s, the distinct non-empty values of each, to its rows. A cluster of
+    sets is dealt to pieces of about ``piece`` sets (fewer if they are long). Each piece is compared within itself and with the cluster's first piece.
     A link that this leaves out joins two components, so one of its ends is outside the cluster's largest component: those sets are then
     compared with every piece. A group of n sets that mostly link is so compared in about 2 n / piece groups, not n^2 / piece^2.
+    Sets are placed before they are made, so that they move once.
     """
-    clusters = written(components(edges).withColumnRenamed("root", "cluster"), "clusters")
-    table = written(clusters.join(sets(clusters), "node").withColumn("n", F.size("s")), "cluster-sets")
-    many = table.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / piece), F.ceil(F.sum("n") / PIECE_VALUES)).cast("int").alias("k"))
-    placed = table.join(many, "cluster").withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    clusters = components(edges).withColumnRenamed("root", "cluster").join(sizes.select("node", "n"), "node")
+    clusters = written(clusters, "clusters")
+    many = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / piece), F.ceil(F.sum("n") / PIECE_VALUES)).cast("int").alias("k"))
+    many = written(many, "cluster-pieces")
+    placed = written(clusters.join(many, "cluster").withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")), "cluster-places")
     groups = F.when(F.col("c") > 0, F.array("c")).otherwise(F.sequence(F.lit(0), F.col("k") - 1))
-    first = placed.withColumn("g", F.explode(groups)).select("cluster", F.col("g").cast("bigint").alias("g"), (F.col("c") > 0).cast("bigint").alias("late"), "node", "s")
+    first = sets(placed.select("node", "cluster", "k", "c")).withColumn("g", F.explode(groups)).select("cluster", F.col("g").cast("bigint").alias("g"), (F.col("c") > 0).cast("bigint").alias("late"), "node", "s")
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in bounded(whole_groups(batches, 2)):
@@ -217,18 +240,20 @@ def linked_components(edges: DataFrame, sets: Callable[[DataFrame], DataFrame],
 
     large = many.filter("k > 1").select("cluster", "k")
     if large.isEmpty():
-        discard(clusters)
+        discard(clusters, placed, many)
         return roots
-    now = written(clusters.join(large, "cluster").join(roots, "node", "left").select("cluster", "k", "node", F.coalesce("root", "node").alias("root")), "placed")
+    now = placed.select("cluster", "k", "c", "node").join(large.select("cluster"), "cluster", "left_semi").join(roots, "node", "left")
+    now = written(now.select("cluster", "k", "c", "node", F.coalesce("root", "node").alias("root")), "rooted")
     counts = now.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("m"))
     top = counts.groupBy("cluster").agg(F.max_by("root", F.struct("m", "root")).alias("top"), (F.sum("m") - F.max("m")).alias("out"))
-    now = now.join(top.filter("out > 0"), "cluster").join(table.select("node", "s", "n"), "node")
+    now = now.join(written(top.filter("out > 0"), "largest"), "cluster").withColumn("parts", F.least(F.col("k"), F.ceil(F.col("out") / piece).cast("int")))
+    now = sets(written(now.select("node", "cluster", "root", "top", "k", "c", "parts"), "outside"))
     # what stands outside is dealt by its own number, the rest by the cluster's pieces
-    outside = now.filter("root <> top").withColumn("j", F.pmod(F.xxhash64("node"), F.least(F.col("k"), F.ceil(F.col("out") / piece).cast("int"))))
-    across = lambda rows, i, j, side: rows.select("cluster", i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), F.lit(side).cast("bigint").alias("side"), "node", "root", "s")
-    ones = across(outside.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))), F.col("i"), F.col("j"), 0)
-    others = now.withColumn("i", F.pmod(F.xxhash64("node"), F.col("k"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.col("k"), F.ceil(F.col("out") / piece).cast("int")) - 1)))
-    both = ones.unionByName(across(others, F.col("i"), F.col("j"), 1))
+    out = F.array(F.struct(F.lit(1).alias("side"), F.array("c").alias("i"), F.sequence(F.lit(0), F.col("parts") - 1).alias("j")))
+    mine = F.struct(F.lit(0).alias("side"), F.sequence(F.lit(0), F.col("k") - 1).alias("i"), F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("j"))
+    both = now.withColumn("x", F.explode(F.when(F.col("root") != F.col("top"), F.array_append(out, mine)).otherwise(out)))
+    both = both.select("cluster", "node", "root", "s", "x.side", F.explode("x.i").alias("i"), F.col("x.j").alias("js")).select("*", F.explode("js").alias("j"))
+    both = both.select("cluster", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("side").cast("bigint").alias("side"), "node", "root", "s")
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in bounded(whole_groups(batches, 3)):
@@ -248,7 +273,7 @@ def linked_components(edges: DataFrame, sets: Callable[[DataFrame], DataFrame],
     late = written(late.distinct(), "late-links")
     if not late.isEmpty():
         roots = components(found.unionByName(late))
-    discard(clusters)
+    discard(clusters, placed, many)
     return roots
 
 

@@ -72,8 +72,8 @@ def test_minhash_equals_all_pairs(docs, spark):
 
 def test_minhash_in_small_pieces(docs, spark, monkeypatch):
     """Buckets of many chunks, clusters of many pieces, links between pieces that only the second pass finds."""
-    monkeypatch.setattr(minhash, "bucket_forest", lambda *a: set_links.bucket_forest(*a, chunk=8))
-    monkeypatch.setattr(minhash, "linked_components", lambda e, s: set_links.linked_components(e, s, piece=8))
+    monkeypatch.setattr(minhash, "bucket_forest", lambda *a: set_links.bucket_forest(*a, chunk=8, short=3))
+    monkeypatch.setattr(minhash, "linked_components", lambda e, n, s: set_links.linked_components(e, n, s, piece=8))
     rows = planted(1)
     assert components_of(spark, docs, rows) == groups(rows)
 

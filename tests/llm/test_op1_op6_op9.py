@@ -207,8 +207,8 @@ def planted(words, want, rng):
 @pytest.mark.parametrize("small, sample", [(1024, 1), (3, 1), (3, 0)])
 def test_stage_finds_copies_of_similarity_at_least_0_8(spark, docs, monkeypatch, small, sample):
     forest, linked = near_copies.bucket_forest, near_copies.linked_components  # with 3, buckets and clusters are many pieces
-    monkeypatch.setattr(near_copies, "bucket_forest", lambda *a: forest(*a, chunk=small))
-    monkeypatch.setattr(near_copies, "linked_components", lambda e, sets: linked(e, sets, piece=small))
+    monkeypatch.setattr(near_copies, "bucket_forest", lambda *a: forest(*a, chunk=small, short=min(small, 16)))
+    monkeypatch.setattr(near_copies, "linked_components", lambda e, n, sets: linked(e, n, sets, piece=small))
     monkeypatch.setattr(near_copies, "SAMPLE", sample)  # the share of texts searched; with 0, no shingle is known to be common
     rng = random.Random(11)
     passage = [f"common{k}" for k in range(60)]
