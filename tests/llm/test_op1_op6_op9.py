@@ -276,7 +276,7 @@ def test_bitmaps_lose_no_similar_pair():
         s = rng.integers(-(1 << 62), 1 << 62, n)
         for cut in (0, n // 18, n // 9):
             t = np.concatenate([s[cut:], rng.integers(-(1 << 62), 1 << 62, cut)])
-            maps = set_links.parity_bitmaps(np.concatenate([s, t]), np.repeat([0, 1], n), 2, near_copies.BITS)
+            maps = set_links.parity_bitmaps(np.concatenate([s, t]), np.repeat([0, 1], n), 2, 512)
             pop = set_links.differing(maps[:1], maps[1:])
             assert pop[0] <= 2 * cut and set_links.may_share(pop, np.array([n]), np.array([n]))[0]
 
