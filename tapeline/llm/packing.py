@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import documents, through_python, written
 
 CAPACITY, END = 1024, 2
-#: Longer pieces are large: they are grouped. Each bound is tried, and the plan with the fewest sequences taken. The last one is best-fit alone.
-SMALL = (64, 128, 192, 256, 320, 384, 512, CAPACITY)
-GROUPS = 1024  # of large pieces
+#: Longer pieces are large: they are grouped. Each bound is tried, and the plan with the fewest sequences taken. All are below half a sequence, so large pieces always meet in configurations.
+SMALL = (64, 128, 160, 192, 224, 256, 320, 384)
+GROUPS = 64  # of large pieces, hence sizes in a configuration
 #: Strings that are one token wherever they stand in a text, as the vocabulary's JSON file lists them.
 SPECIAL = {"<|endoftext|>": 50256}
 #: Pieces that one window ranks.
@@ -122,41 +122,46 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, small: tuple[int, ...
 def group_and_fit(counts: dict[int, int], capacity: int, small: int, groups: int) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, count, first sequence, offset) of runs of pieces, from how many pieces have each length.
 
-    Large lengths are rounded up to few sizes by linear grouping. The fullest configuration with the largest size left is taken as
-    often as demand allows, again and again. Actual lengths take the places of their sizes; then the small lengths, largest first,
-    go where the least room is left. Everything works on counts, at most ``capacity`` of them, so neither time nor the plan's size
-    grows with the number of pieces.
+    Large lengths are dealt to few groups of equal cardinality; a group's size, to which all its lengths are rounded up, is the largest
+    length that it still has. The fullest configuration of these sizes with the largest one is taken for as many bins as the largest
+    lengths of its groups last. Actual lengths take the places of the sizes: the largest of the group, in the last place the largest
+    of any group that fits. What is left is rounded up anew. Then the small lengths, largest first, go where the least room is left.
+    Everything works on counts, at most ``capacity`` of them, so neither time nor the plan's size grows with the number of pieces.
     """
     bins, ranks = Bins(capacity), dict.fromkeys(counts, 0)
-    large = {s: n for s, n in counts.items() if s > small}
-    size_of = group_lengths(large, groups)
-    stock: dict[int, list[list[int]]] = defaultdict(list)  # by size: [length, pieces left]
-    for s in sorted(large, reverse=True):
-        stock[size_of[s]].append([s, large[s]])
-    demand = {g: sum(n for _, n in x) for g, x in stock.items()}
-    while demand:
-        use = fullest(demand, capacity)
-        times = min(demand[s] // k for s, k in use.items())
-        runs = [bins.open(times)]
-        for s, k in sorted(use.items(), reverse=True):
-            demand[s] -= k * times
-            if not demand[s]:
-                del demand[s]
-            for _ in range(k):
-                filled = []
-                for run in runs:
-                    while run[0]:
-                        length, left = stock[s][-1]
-                        part, run = bins.split(run, min(left, run[0]))
-                        filled.append(bins.add(part, length, ranks[length]))
-                        ranks[length] += part[0]
-                        stock[s][-1][1] -= part[0]
-                        if not stock[s][-1][1]:
-                            stock[s].pop()
-                runs = filled
+    alone = capacity - min(counts, default=0)  # nothing goes beside a longer piece
+    for s in (x for x in counts if x > alone):
+        bins.put(bins.add(bins.open(counts[s]), s, 0))
+    large = {s: n for s, n in counts.items() if small < s <= alone}
+    group_of = group_lengths(large, groups)
+
+    def fill(run: tuple, length: int) -> tuple[tuple, tuple]:
+        part, rest = bins.split(run, min(large[length], run[0]))
+        part = bins.add(part, length, ranks[length])
+        ranks[length] += part[0]
+        large[length] -= part[0]
+        if not large[length]:
+            del large[length]
+        return part, rest
+
+    while large:
+        members = defaultdict(list)
+        for s in sorted(large, reverse=True):
+            members[group_of[s]].append(s)
+        use = fullest({x[0]: sum(large[s] for s in x) for x in members.values()}, capacity)
+        runs = [bins.open(max(1, min(large[s] // k for s, k in use.items())))]
+        places = [s for s, k in sorted(use.items(), reverse=True) for _ in range(k)]
+        for at, s in enumerate(places):
+            last, filled = at == len(places) - 1, []
+            for run in runs:
+                while run[0]:
+                    fits = capacity - run[2]
+                    part, run = fill(run, max(x for x in large if (x <= fits if last else group_of[x] == group_of[s])))
+                    filled.append(part)
+            runs = filled
         for run in runs:
             bins.put(run)
-    for s in sorted((x for x in counts if x <= small), reverse=True):
+    for s in sorted((x for x in counts if x <= min(small, alone)), reverse=True):
         left = counts[s]
         while left:
             room = min((r for r, x in bins.by_room.items() if r >= s and x), default=None)

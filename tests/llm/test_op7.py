@@ -1,5 +1,6 @@
 """Packing against a brute-force check of every contract, and the vocabulary's two forms against each other."""
 
+import itertools
 import random
 import zlib
 
@@ -65,6 +66,40 @@ def test_added_token_is_one_id_inside_texts(docs):
     assert {a.content: i for i, a in t.get_added_tokens_decoder().items()} == packing.SPECIAL
 
 
+def test_fullest_configuration_against_all_of_them():
+    for seed in range(60):
+        rng = random.Random(seed)
+        demand = {rng.randint(3, 40): rng.randint(1, 3) for _ in range(rng.randint(1, 5))}
+        use = packing.fullest(demand, 50)
+        top = max(demand)
+        best = max(
+            sum(s * k for s, k in zip(demand, ks))
+            for ks in itertools.product(*(range(n + 1) for n in demand.values()))
+            if sum(s * k for s, k in zip(demand, ks)) <= 50 and dict(zip(demand, ks))[top]
+        )
+        assert use[top] and all(k <= demand[s] for s, k in use.items() if k) and sum(s * k for s, k in use.items()) == best
+
+
+def test_large_pieces_come_through_configurations_of_few_sizes(monkeypatch):
+    rng = random.Random(4)
+    counts = {}
+    for _ in range(9_000):
+        n = min(1024, int(rng.lognormvariate(5.7, 1.0)) + 5)
+        counts[n] = counts.get(n, 0) + 1
+    seen, real = [], packing.fullest
+    monkeypatch.setattr(packing, "fullest", lambda demand, capacity: seen.append(sum(demand.values())) or (len(demand) <= packing.GROUPS or 1 / 0) and real(demand, capacity))
+    for small in packing.SMALL:
+        seen.clear()
+        packing.group_and_fit(counts, 1024, small, packing.GROUPS)
+        large = sum(n for s, n in counts.items() if small < s <= 1024 - min(counts))
+        assert seen[0] == large and seen == sorted(seen, reverse=True) and len(set(seen)) == len(seen)
+    sizes = packing.group_lengths({s: n for s, n in counts.items() if 128 < s < 1024}, packing.GROUPS)
+    assert len(set(sizes.values())) <= packing.GROUPS and all(size >= s for s, size in sizes.items())
+    total = sum(s * n for s, n in counts.items())
+    assert max(r[3] + r[2] for r in packing.plan(counts)) <= 1.002 * total / 1024 + 1
+    assert packing.plan({}) == [] and packing.plan({1024: 3, 1: 2}) and packing.plan({600: 5}) == [(600, 0, 5, 0, 0)]
+
+
 def test_plan_is_whole_and_tight():
     for seed in range(8):
         rng = random.Random(seed)
