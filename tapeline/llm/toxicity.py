@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket, discard, documents, text_key, through_python, written
+from .common import bucket, discard, documents, maybe_listed, text_key, through_python, written
 from .simhash import shingle_hashes, split_words
 
 #: Most texts with a vote, and as many without one, that the classifier is fitted on.
@@ -76,16 +76,26 @@ def learn_lexicon(labelled: DataFrame) -> list[str]:
     rows = labelled.filter("text is not null").select("toxic", tokens_column().alias("tokens"), split_words(F.col("text")).alias("w"))
     rows = rows.select("toxic", "tokens", F.coalesce(F.array_min(shingle_hashes("w", 4)), F.lit(0).cast("bigint")).alias("sig"))
     rows = written(rows, "toxic-labelled")
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.countDistinct("sig").alias("n")).collect()}
+    sigs = written(rows.groupBy("toxic", "sig").agg(F.count(F.lit(1)).alias("n")), "toxic-sigs")
+    sizes = {r["toxic"]: r["count"] for r in sigs.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
-        discard(rows)
+        discard(rows, sigs)
         return []
-    each = lambda k: rows.filter(F.col("toxic") == k).select("sig", F.explode("tokens").alias("token"))
-    found = written(each(1).distinct().groupBy("token").agg(F.count(F.lit(1)).alias("k")), "toxic-tokens")
-    many = written(found.filter("k >= 4"), "toxic-often")  # a table of its own, so that Spark knows its size before the clean texts' tokens move
-    clean = each(0).join(many.select("token"), "token", "left_semi").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    both = many.join(clean, "token", "left").withColumn("n", F.col("k") + F.coalesce("c", F.lit(0)))
+    repeated = written(sigs.filter("n > 1").select(F.xxhash64("toxic", "sig").alias("key")), "toxic-repeated")
+    again = maybe_listed(rows.withColumn("key", F.xxhash64("toxic", "sig")), "key", repeated, "key")
+
+    def text_counts(k: int, name: str) -> DataFrame:
+        """token and in how many texts it stands: all of them, added up before they move, without what repeated hashes count too often."""
+        each = lambda of: of.filter(F.col("toxic") == k).select("sig", F.explode("tokens").alias("token"))
+        every = each(rows).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        more = each(again).groupBy("sig", "token").agg((F.count(F.lit(1)) - 1).alias("more")).filter("more > 0")
+        more = more.groupBy("token").agg(F.sum("more").alias("more"))
+        return every.join(more, "token", "left").select("token", (F.col("n") - F.coalesce("more", F.lit(0))).alias(name))
+
+    found = written(text_counts(1, "k"), "toxic-tokens")
+    many = found.filter("k >= 4")
+    both = many.join(text_counts(0, "c"), "token", "left").withColumn("n", F.col("k") + F.coalesce("c", F.lit(0)))
     base, n = bad / (bad + good), max(found.count(), 1)
     need, least = math.log(n / CHANCE), math.log(n / WEAK_CHANCE)
     q = F.col("k") / F.col("n")
@@ -93,7 +103,7 @@ def learn_lexicon(labelled: DataFrame) -> list[str]:
     best = both.filter((F.col("k") / (F.col("n") + 0.1) >= PRECISION) & (gain >= least))
     best = best.select(F.when(gain >= need, F.col("token")).otherwise(F.concat(F.lit(WEAK), "token")).alias("token"))
     out = sorted(r["token"] for r in best.collect())
-    discard(rows, found, many)
+    discard(rows, sigs, repeated, found)
     return out
 
 
@@ -274,8 +284,11 @@ def sample_texts(votes: DataFrame, size: int) -> pd.DataFrame:
 
 
 def lexicon_of(rows: DataFrame, train: DataFrame) -> list[str]:
-    """The lexicon of the labelled rows (doc_id, text); held-out rows have no label to learn from, so their texts don't move."""
-    return learn_lexicon(rows.filter(bucket(F.col("doc_id"), 3) != 1).join(train, "doc_id").select("toxic", "text"))
+    """The lexicon of the labelled rows (doc_id, text); a bitmap keeps texts of rows without one from
+    moving, held-out rows among them."""
+    rows = rows.filter(bucket(F.col("doc_id"), 3) != 1).withColumn("kk", F.xxhash64("doc_id"))
+    rows = maybe_listed(rows, "kk", train.select(F.xxhash64("doc_id").alias("kk")), "kk")
+    return learn_lexicon(rows.join(train, "doc_id").select("toxic", "text"))
 
 
 def learn(votes: DataFrame, train: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
