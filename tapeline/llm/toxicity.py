@@ -52,9 +52,17 @@ def stripe(token: str) -> int:
     return zlib.crc32(token.encode()) % STRIPES
 
 
+def distinct_words(rows: DataFrame) -> DataFrame:
+    """The rows with ``words``, the distinct words (of letters) of the lower-cased text, space-joined, and ``sig``, its smallest hash of four
+    words in a row, instead of the text: fewer bytes where rows meet their labels. Rows without a text go."""
+    words = F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))), " ")
+    rows = rows.filter("text is not null").withColumns({"words": words, "w": split_words(F.col("text"))})
+    return rows.withColumn("sig", F.coalesce(F.array_min(shingle_hashes("w", 4)), F.lit(0).cast("bigint"))).drop("w", "text")
+
+
 def tokens_column():
-    """Distinct words (of letters) and beginnings of words, marked by ``*``, of a lower-cased text."""
-    w = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    """The distinct words and beginnings of words, marked by ``*``, of ``words``."""
+    w = F.array_remove(F.split("words", " "), "")
     long = F.filter(w, lambda x: F.length(x) > BEGINNING)
     return F.concat(w, F.array_distinct(F.transform(long, lambda x: F.concat(F.substring(x, 1, BEGINNING), F.lit("*")))))
 
@@ -66,16 +74,14 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(labelled: DataFrame) -> list[str]:
-    """Tokens that stand in toxic texts far more often than chance lets expect; labelled: (toxic, text), all of them counted.
+    """Tokens that stand in toxic texts far more often than chance lets expect; labelled: (toxic, words, sig) by ``distinct_words``, all of them counted.
 
     Texts whose smallest hashes of four words in a row are equal count once, so that near copies of a text don't make its words toxic; other
     texts hardly share four words. A token needs at least ``PRECISION`` of its texts toxic, and evidence (count times divergence from the
     base rate) that leaves ``CHANCE`` tokens expected by chance among all tokens. Tokens with less evidence, of which ``WEAK_CHANCE`` are expected by
     chance, are marked ``WEAK``: they vote apart, so that the label model gives them an accuracy of their own.
     """
-    rows = labelled.filter("text is not null").select("toxic", tokens_column().alias("tokens"), split_words(F.col("text")).alias("w"))
-    rows = rows.select("toxic", "tokens", F.coalesce(F.array_min(shingle_hashes("w", 4)), F.lit(0).cast("bigint")).alias("sig"))
-    rows = written(rows, "toxic-labelled")
+    rows = written(labelled.select("toxic", tokens_column().alias("tokens"), "sig"), "toxic-labelled")
     sigs = written(rows.groupBy("toxic", "sig").agg(F.count(F.lit(1)).alias("n")), "toxic-sigs")
     sizes = {r["toxic"]: r["count"] for r in sigs.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
@@ -85,9 +91,17 @@ def learn_lexicon(labelled: DataFrame) -> list[str]:
     repeated = written(sigs.filter("n > 1").select(F.xxhash64("toxic", "sig").alias("key")), "toxic-repeated")
     again = maybe_listed(rows.withColumn("key", F.xxhash64("toxic", "sig")), "key", repeated, "key")
 
-    def text_counts(k: int, name: str) -> DataFrame:
-        """token and in how many texts it stands: all of them, added up before they move, without what repeated hashes count too often."""
-        each = lambda of: of.filter(F.col("toxic") == k).select("sig", F.explode("tokens").alias("token"))
+    def text_counts(k: int, name: str, among: DataFrame | None = None) -> DataFrame:
+        """token and in how many texts it stands: all of them, added up before they move, without what repeated hashes count too often.
+        With ``among``, a bitmap leaves out most tokens that are not there before any is counted."""
+
+        def each(of: DataFrame) -> DataFrame:
+            out = of.filter(F.col("toxic") == k).select("sig", F.explode("tokens").alias("token"))
+            if among is None:
+                return out
+            keys = among.select(F.xxhash64("token").alias("key"))
+            return maybe_listed(out.withColumn("key", F.xxhash64("token")), "key", keys, "key").drop("key")
+
         every = each(rows).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
         more = each(again).groupBy("sig", "token").agg((F.count(F.lit(1)) - 1).alias("more")).filter("more > 0")
         more = more.groupBy("token").agg(F.sum("more").alias("more"))
@@ -95,7 +109,7 @@ def learn_lexicon(labelled: DataFrame) -> list[str]:
 
     found = written(text_counts(1, "k"), "toxic-tokens")
     many = found.filter("k >= 4")
-    both = many.join(text_counts(0, "c"), "token", "left").withColumn("n", F.col("k") + F.coalesce("c", F.lit(0)))
+    both = many.join(text_counts(0, "c", many), "token", "left").withColumn("n", F.col("k") + F.coalesce("c", F.lit(0)))
     base, n = bad / (bad + good), max(found.count(), 1)
     need, least = math.log(n / CHANCE), math.log(n / WEAK_CHANCE)
     q = F.col("k") / F.col("n")
@@ -284,11 +298,11 @@ def sample_texts(votes: DataFrame, size: int) -> pd.DataFrame:
 
 
 def lexicon_of(rows: DataFrame, train: DataFrame) -> list[str]:
-    """The lexicon of the labelled rows (doc_id, text); a bitmap keeps texts of rows without one from
-    moving, held-out rows among them."""
+    """The lexicon of the labelled rows (doc_id, text); a bitmap keeps rows without a label from
+    moving, held-out rows among them, and of the others their words move, not the texts."""
     rows = rows.filter(bucket(F.col("doc_id"), 3) != 1).withColumn("kk", F.xxhash64("doc_id"))
     rows = maybe_listed(rows, "kk", train.select(F.xxhash64("doc_id").alias("kk")), "kk")
-    return learn_lexicon(rows.join(train, "doc_id").select("toxic", "text"))
+    return learn_lexicon(distinct_words(rows.select("doc_id", "text")).join(train, "doc_id").select("toxic", "words", "sig"))
 
 
 def learn(votes: DataFrame, train: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
