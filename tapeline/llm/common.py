@@ -123,6 +123,17 @@ def maybe_listed(rows: DataFrame, key: str, listed: DataFrame, listed_key: str)
     return rows.filter(hit(key))
 
 
+#: Rows of a batch between the JVM and Python where whole texts go.
+TEXT_ROWS, BATCH_ROWS = "2000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Where the session has Spark's default of 10,000 rows an Arrow batch, set ``TEXT_ROWS`` from now on: 10,000 whole texts fill some
+    30 MB several times over, on both sides of every task. Another number that the session has set stands. No result depends on it."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, TEXT_ROWS)
+
+
 def texts_of(df: DataFrame, id_col: str, text_col: str, ends: DataFrame) -> DataFrame:
     """The rows of ``ends`` (a table of node, id, text_key and more) with t, their text, for id and text_key: where rows repeat an id and its text, more
     than one a node. Few other texts are shuffled."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucket, documents
+from .common import bucket, documents, text_batches
 
 #: n-grams of a profile; their longest length.
 PROFILE, LONGEST = 300, 3
@@ -196,6 +196,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Where no document names a language, nothing was learned and all documents with a letter stay. Ids play no part but in ``fit``.
     """
+    text_batches(spark)
     profiles = fit(docs)
     if not profiles.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))

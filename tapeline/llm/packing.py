@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, through_python, written
+from .common import documents, text_batches, through_python, written
 
 CAPACITY, END = 1024, 2
 #: Longer pieces are large: they are grouped. Each bound is tried, and the plan with the fewest sequences taken. All are below half a sequence, so large pieces always meet in configurations.
@@ -225,4 +225,5 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces of all documents. Null and empty texts are one end id; rows that repeat are packed as often as they occur; a null
     id stays null; no documents give no pieces."""
+    text_batches(spark)
     return pack_documents(docs)

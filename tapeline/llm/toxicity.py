@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket, discard, documents, maybe_listed, text_key, through_python, written
+from .common import bucket, discard, documents, maybe_listed, text_batches, text_key, through_python, written
 from .simhash import shingle_hashes, split_words
 
 #: Most texts with a vote, and as many without one, that the classifier is fitted on.
@@ -347,6 +347,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents but for those predicted toxic. Each row is judged by its own text: rows without an id or with another's id stay if clean."""
+    text_batches(spark)
     train = written(training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")), "toxic-labels")
     votes = written(vote_rows(docs, lexicon_of(docs.select("doc_id", "text"), train)), "votes")
     w = learn(votes.withColumn("doc_id", F.col("row.doc_id")), train)
