@@ -124,7 +124,7 @@ def maybe_listed(rows: DataFrame, key: str, listed: DataFrame, listed_key: str)
 
 
 #: Rows of a batch between the JVM and Python where whole texts go.
-TEXT_ROWS, BATCH_ROWS = "2000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS, BATCH_ROWS = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def text_batches(spark: SparkSession) -> None:
