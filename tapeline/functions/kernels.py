@@ -198,13 +198,20 @@ def best_barriers(paths: np.ndarray, grid: np.ndarray) -> tuple[float, float, fl
     return best_cell(cell_sums(paths, grid), len(paths), grid)
 
 
-def replay(price: list[float], act: list[float], pt: list[float], sl: list[float], fee: float, horizon: int, atr_pct: float, liquidate: bool, capital: float = 10_000.0) -> list[tuple]:
-    """(cash, shares, fee, prev_value, value, forced) of each step of an episode; the last price has no step."""
-    cash, shares, entry, entry_at, atr, out = capital, 0.0, 0.0, 0, 0.0, []
-    for i in range(len(price) - 1):
-        p, a, forced, paid = price[i], act[i], False, 0.0
+def replay_rows(price: list[float], act: list[float], pt: list[float], sl: list[float], new: list[bool], state: tuple | None, fee: float, horizon: int, atr_pct: float, liquidate: bool, capital: float = 10_000.0) -> tuple[list[int], list[tuple], tuple | None]:
+    """Steps of episodes whose rows come one after the other; ``new`` marks an episode's first row. (number of the row, (cash, shares, fee,
+    prev_value, value, forced)) of each step, and the state before the last row, which waits for the next price: it is the first row
+    of the next call."""
+    cash, shares, entry, entry_at, atr, i, over = state or (capital, 0.0, 0.0, 0, 0.0, 0, False)
+    at, out = [], []
+    for j in range(len(price) - 1):
+        if new[j]:
+            cash, shares, entry, entry_at, atr, i, over = capital, 0.0, 0.0, 0, 0.0, 0, False
+        if over or new[j + 1]:  # the last price of an episode has no step
+            continue
+        p, a, forced, paid = price[j], act[j], False, 0.0
         if shares > 0 and entry > 0:
-            forced = p >= entry + atr * pt[i] or p <= entry - atr * sl[i] or i - entry_at >= horizon
+            forced = p >= entry + atr * pt[j] or p <= entry - atr * sl[j] or i - entry_at >= horizon
         if forced:
             a = -1.0 if liquidate else 0.0
         before = cash + shares * p
@@ -223,8 +230,14 @@ def replay(price: list[float], act: list[float], pt: list[float], sl: list[float
             shares -= sold
             if shares <= 1e-6:
                 shares, entry, entry_at, atr = 0.0, 0.0, 0, 0.0
-        value = cash + shares * price[i + 1]
+        value = cash + shares * price[j + 1]
+        at.append(j)
         out.append((cash, shares, paid, before, value, forced))
-        if value < 1000:
-            break
-    return out
+        over = value < 1000
+        i += 1
+    return at, out, (cash, shares, entry, entry_at, atr, i, over)
+
+
+def replay(price: list[float], act: list[float], pt: list[float], sl: list[float], fee: float, horizon: int, atr_pct: float, liquidate: bool, capital: float = 10_000.0) -> list[tuple]:
+    """(cash, shares, fee, prev_value, value, forced) of each step of an episode; the last price has no step."""
+    return replay_rows(price, act, pt, sl, [k == 0 for k in range(len(price))], None, fee, horizon, atr_pct, liquidate, capital)[1]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,21 @@ def rolling(agg: Column, counted: Column, n: int, order: str = "seq") -> Column:
     return F.when(F.count(counted).over(frame) == n, agg.over(frame))
 
 
+def in_order(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of a group in one partition, in order, groups one after the other: a task streams them, whatever a group's length or number."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, order)
+
+
+def first_rows(batch: pa.RecordBatch, keys: list[str], last: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Which rows of a batch begin a group of ``in_order``, and the keys of its last row; ``last``: those of the batch before."""
+    new = np.zeros(batch.num_rows, bool)
+    for k in keys:
+        codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    new[0] = tuple(batch.column(k)[0].as_py() for k in keys) != last
+    return new, tuple(batch.column(k)[-1].as_py() for k in keys)
+
+
 def running() -> tuple[int, int]:
     return Window.unboundedPreceding, Window.currentRow
 

@@ -560,7 +560,8 @@ def signal_rows(spark, sf_dir):
 
 def episode_rows(spark, sf_dir):
     s = signal_rows(spark, sf_dir)
-    return bt.episodes(s, bt.eval_windows(s)).withColumn("agent", F.lit("sized"))
+    out = bt.episodes(s, bt.eval_windows(s)).withColumn("agent", F.lit("sized"))
+    return out.select(*bt.EPISODE, "step", "ts", "close", "act", "optimal_pt", "optimal_sl")
 
 
 def equity_rows(spark, sf_dir):
@@ -592,18 +593,17 @@ METRIC = ("roi", "cagr", "win_rate", "max_drawdown", "profit", "fees")
 
 @query(f"{REPLAY}, {EQUITY}, {TRIPS}, {METRICS} SELECT symbol, win, {', '.join(f'round({c}, 4) AS {c}' for c in METRIC)}, trades FROM met")
 def window_metrics(spark, sf_dir):
-    e = episode_rows(spark, sf_dir)
+    e = written(episode_rows(spark, sf_dir), "episodes")  # replayed, and read for the last times
     return bt.window_metrics(bt.with_equity(bt.replay(e)), e).select("symbol", F.col("win").cast("bigint").alias("win"), *(r(c, 4) for c in METRIC), "trades")
 
 
 def _evaluated(e):
-    ledger = written(bt.replay(e), "ledger")  # read for the sums and for the round trips
-    return bt.evaluate(bt.window_metrics(bt.with_equity(ledger), e))
+    return bt.evaluate(bt.window_metrics(bt.with_equity(bt.replay(e)), e))
 
 
 @query(f"{REPLAY}, {EQUITY}, {TRIPS}, {METRICS}, {EVAL} SELECT symbol, {', '.join(f'round({c}, 4) AS {c}' for c in METRIC)}, trades FROM ev")
 def evaluation(spark, sf_dir):
-    return _evaluated(episode_rows(spark, sf_dir)).select("symbol", *(r(c, 4) for c in METRIC), "trades")
+    return _evaluated(written(episode_rows(spark, sf_dir), "episodes")).select("symbol", *(r(c, 4) for c in METRIC), "trades")
 
 
 HOLD = "hold AS (SELECT symbol, avg(r) * 100 AS hold_roi FROM (SELECT symbol, win, arg_max(close, step) / arg_min(close, step) - 1 AS r FROM eps GROUP BY 1, 2) GROUP BY 1)"
