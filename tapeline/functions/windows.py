@@ -35,6 +35,12 @@ def first_rows(batch: pa.RecordBatch, keys: list[str], last: tuple | None) -> tu
     return new, tuple(batch.column(k)[-1].as_py() for k in keys)
 
 
+def group_pieces(new: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of the pieces into which ``first_rows`` cuts a batch; the first may go on with the group of the batch before."""
+    at = sorted({0, *np.flatnonzero(new).tolist()})
+    return list(zip(at, [*at[1:], len(new)], strict=True))
+
+
 def running() -> tuple[int, int]:
     return Window.unboundedPreceding, Window.currentRow
 

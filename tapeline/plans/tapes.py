@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
 from ..functions.windows import by_symbol, sequenced
 from ..operators import bars
 from ..sources import io
@@ -35,7 +36,7 @@ def as_bars(ticks: DataFrame) -> DataFrame:
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars.dollar_bars(tape_events(spark, sf_dir), chunk_rows=1_000_000)  # a symbol grows with the data
+    return written(bars.dollar_bars(tape_events(spark, sf_dir), chunk_rows=1_000_000), "bars")  # a symbol grows with the data; most queries read its bars more than once
 
 
 def event_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
