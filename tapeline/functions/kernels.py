@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -151,36 +152,57 @@ def noise(n: int, length: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((n, length - 1))
 
 
-def ar_paths(phi: float, eps: np.ndarray) -> np.ndarray:
-    """p_0 = 0, p_t = phi p_(t-1) + eps_t; one row a path."""
+def ar_paths(phi: float, eps: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """p_0 = 0, p_t = phi p_(t-1) + eps_t; one row a path. ``out``: an array (steps, paths) of zeros or of earlier paths to be filled."""
     steps = np.ascontiguousarray(eps.T)
-    out = np.zeros((len(steps) + 1, len(eps)))
+    out = np.zeros((len(steps) + 1, len(eps))) if out is None else out
     for t, e in enumerate(steps):
         np.multiply(out[t], phi, out=out[t + 1])
         out[t + 1] += e
     return out.T
 
 
+@functools.lru_cache(maxsize=1)
+def _work(steps: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arrays that ``cell_sums`` fills again at each call; new ones cost more than what is done with them."""
+    return np.empty((steps, n)), np.zeros((steps + 1, n), np.uint8), np.empty((steps, n), np.intp)
+
+
 def cell_sums(paths: np.ndarray, grid: np.ndarray) -> np.ndarray:
     """Of each cell (pt, sl) of the grid: paths that hit pt first, that hit sl first, and the sum and sum of squares of the last prices of
     the others; shape (4, cells, cells). Sums of parts of the paths add up.
 
-    A path's first hit of a level is the number of steps at which its running maximum (minimum) is still short of it, once a level.
+    A path's running maximum (minimum) has reached a number of levels at each step. Where it goes from a to b levels up with c down, the
+    cells a <= pt < b, c <= sl are hit: histograms over all steps of (before, down) and (after, down), summed up over cells, differ
+    by these hits. Both come from one histogram of the states before and after each step.
     """
-    steps = paths.shape[1]
-    p = np.ascontiguousarray(paths.T)
-    high, low = p[0].copy(), p[0].copy()
-    up, down = np.zeros((2, len(grid), len(paths)), np.int8)
-    short = np.empty(len(paths), bool)
-    for now in p:
-        np.maximum(high, now, out=high)
-        np.minimum(low, now, out=low)
-        for i, g in enumerate(grid):
-            up[i] += np.less(high, g, out=short).view(np.int8)
-            down[i] += np.greater(low, -g, out=short).view(np.int8)
-    count = lambda x, y: np.array([[np.count_nonzero(a < b) for b in y] for a in x])
-    last, no_up, no_down = p[-1], (up == steps).astype(float), (down == steps).astype(float)
-    return np.stack([count(up, down), count(down, up).T, (no_up * last) @ no_down.T, (no_up * (last * last)) @ no_down.T])
+    p, k = np.ascontiguousarray(paths.T), len(grid) + 1
+    assert k <= 15  # a state is a number below 2^8
+    q, states, pairs = _work(*p.shape)
+    h = grid[1] - grid[0] if len(grid) > 1 else 0.0
+    if h > 0 and math.frexp(h)[0] == 0.5 and grid[0] >= h and grid[0] % h == 0 and np.array_equal(grid, grid[0] + h * np.arange(len(grid))):
+        least = int(grid[0] / h) - 1  # steps of a power of two: the whole part of the exact quotient is the level
+        q = np.clip(p, -grid[-1], grid[-1], out=q)
+        q *= 1 / h
+        if np.isnan(q.sum()):
+            q = np.nan_to_num(q)
+        level = lambda x: x.astype(np.uint8) - np.uint8(least)
+    else:
+        q, least = p, -np.inf
+        level = lambda x: np.searchsorted(grid, x, side="right").astype(np.uint8)
+    high, low, other = np.full((3, len(paths)), float(least))
+    for t, x in enumerate(q):
+        np.maximum(high, x, out=high)
+        np.maximum(low, np.negative(x, out=other), out=low)
+        np.multiply(level(high), np.uint8(k), out=states[t + 1])
+        states[t + 1] += level(low)
+    np.multiply(states[:-1], k * k, out=pairs, dtype=np.intp)
+    pairs += states[1:]
+    steps = np.bincount(pairs.ravel(), minlength=k**4).reshape(k, k, k, k)  # up and down before, up and down after
+    left = lambda w: np.bincount(states[-1], w, k * k).reshape(k, k)
+    total = lambda m: m.cumsum(0).cumsum(1)[:-1, :-1]
+    after, last = steps.sum((0, 1)), p[-1]
+    return np.stack([total(steps.sum((1, 2)) - after), total(steps.sum((0, 3)).T - after), total(left(last)), total(left(last * last))])
 
 
 def best_cell(sums: np.ndarray, n: int, grid: np.ndarray) -> tuple[float, float, float]:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.storage import written
 from ..functions.windows import scanned
 
 GRID = [0.5 + 0.25 * k for k in range(11)]
@@ -31,10 +32,11 @@ def ou_fit(slices: DataFrame, window: int = 15) -> DataFrame:
     frame = w.rowsBetween(-(window - 1), 0)
     z = F.when(F.count("close").over(frame) == window, F.avg("close").over(frame))
     rows = slices.withColumn("z", z).withColumn("x", F.lag("close").over(w) - F.lag("z").over(w)).filter("z is not null and x is not null")
-    fit = rows.groupBy("symbol", "start").agg(F.covar_samp("close", "x").alias("c"), F.var_samp("x").alias("v"))
-    fit = fit.select("symbol", "start", F.when(F.col("v") > 0, F.col("c") / F.col("v")).alias("phi"))
+    whole = W.partitionBy("symbol", "start")  # a slice; its order and place serve the fit and the rest alike
+    rows = rows.withColumns({"c": F.covar_samp("close", "x").over(whole), "v": F.var_samp("x").over(whole)})
+    rows = rows.withColumn("phi", F.when(F.col("v") > 0, F.col("c") / F.col("v")))
     rest = F.col("close") - F.col("z") - F.col("phi") * F.col("x")
-    return rows.join(fit, ["symbol", "start"]).groupBy("symbol", "start", "phi").agg(F.stddev_samp(rest).alias("sigma"))
+    return rows.groupBy("symbol", "start", "phi").agg(F.stddev_samp(rest).alias("sigma"))
 
 
 def barrier_grid(paths: DataFrame, sigma: float, grid: list[float] = GRID) -> DataFrame:
@@ -55,9 +57,10 @@ def best_for_phi(phis: DataFrame, n_paths: int = 10_000, length: int = 15, seed:
     the result depends on neither partitions nor order. CPU-bound: distinct values are dealt evenly."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        eps = kernels.noise(n_paths, length, seed)
+        eps = np.asfortranarray(kernels.noise(n_paths, length, seed))  # as the paths read it, step by step
+        paths = np.zeros((length, n_paths))
         for f in frames:
-            got = [kernels.best_barriers(kernels.ar_paths(x, eps), np.array(GRID))[:2] for x in f["phi"]]
+            got = [kernels.best_barriers(kernels.ar_paths(x, eps, paths), np.array(GRID))[:2] for x in f["phi"]]
             yield pd.DataFrame({"phi": f["phi"].to_numpy(float), "pt": [g[0] for g in got], "sl": [g[1] for g in got]}, dtype=float)
 
     spark = phis.sparkSession
@@ -93,7 +96,8 @@ def rolling_barriers(df: DataFrame, window: int = 60, step: int = 20, n_paths: i
     the one before, and the head has 2.0. ``digits`` rounds phi, so that fewer values are simulated."""
     fit = ou_fit(rolling_slices(df, window, step)).filter("phi is not null and sigma > 0")
     fit = fit.withColumn("phi", F.round("phi", digits)) if digits is not None else fit
-    found = fit.join(best_for_phi(fit, n_paths, seed=seed), "phi").select("symbol", "start", "pt", "sl")
+    fit = written(fit, "ou-fits")  # its phis are simulated, and joined to what they give
+    found = written(fit.join(best_for_phi(fit, n_paths, seed=seed), "phi").select("symbol", "start", "pt", "sl"), "barriers")  # simulated once
     rows = df.withColumn("start", F.floor((F.col("seq") - 1) / step) * step).join(found, ["symbol", "start"], "left")
     rows = scanned(rows, ["symbol"], lasts={"optimal_pt": F.col("pt"), "optimal_sl": F.col("sl")})
     return rows.fillna(2.0, ["optimal_pt", "optimal_sl"]).drop("start", "pt", "sl")

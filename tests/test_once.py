@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tapeline.functions import kernels
-from tapeline.operators import backtest
+from tapeline.operators import backtest, barriers, bars
 
 FEES = (0.0005, 3, 0.02, True)
 
@@ -60,3 +61,55 @@ def test_the_ledger_is_replayed_once(spark):
         mine = equity.filter((F.col("symbol") == r.symbol) & (F.col("win") == r.win)).collect()
         assert abs(r.win_rate - (100 * sum(won) / len(won) if won else 0)) < 1e-9 and abs(r.profit - sum(x.reward for x in mine)) < 1e-9
         assert r.trades == sum(x.fee > 0.01 for x in mine) and abs(r.max_drawdown - 100 * max(x.drawdown for x in mine)) < 1e-9
+
+
+def test_bar_scans_stream_batches(spark):
+    """Chunks and whole symbols in small Arrow batches, against one scan of each symbol in plain Python."""
+    rng = random.Random(8)
+    ticks = [(s, k + 1, rng.randrange(1, 900), rng.randrange(30_000, 600_000), float(k)) for s, n in (("a", 1), ("b", 700), ("c", 2), ("d", 333)) for k in range(n)]
+    df = spark.createDataFrame(ticks, "symbol string, seq bigint, dv bigint, bar_sum bigint, price double")
+    want = {}
+    for s in "abcd":
+        mine = [t for t in ticks if t[0] == s]
+        ids, breach, _, _ = kernels.reset_scan([t[2] for t in mine], [t[3] for t in mine], 300, 0, 0)
+        want |= {(s, t[1]): (i, b) for t, i, b in zip(mine, ids, breach, strict=True)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        for got in (bars.assign_bars(df), bars.assign_bars_chunked(df, chunk_rows=50), bars.assign_bars_chunked(df)):
+            assert nodes(got, "FlatMapGroups") == 0  # no task holds a chunk
+            assert {(r.symbol, r.seq): (r.bar_id, r.breach) for r in got.collect()} == want
+            assert got.columns == [*df.columns, "bar_id", "breach"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert bars.assign_bars_chunked(df.filter("false")).count() == 0
+
+
+def test_event_bars_are_scanned_once_a_query(spark):
+    from tapeline.plans import tapes
+
+    got = tapes.event_bars(spark, "/root/testdata/sf0.001")
+    assert nodes(got, "MapInArrow") == 0 and got.count() > 0
+
+
+def test_phis_are_simulated_once(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([("a", k + 1, 100 + rng.gauss(0, 1)) for k in range(300)], "symbol string, seq bigint, close double")
+    got = barriers.rolling_barriers(df, n_paths=50)
+    assert nodes(got, "MapInPandas") == 0 and got.count() == 300  # written, so whoever reads the rows twice does not simulate twice
+    fit = barriers.ou_fit(barriers.rolling_slices(df))
+    assert nodes(fit, "Join") == nodes(barriers.rolling_slices(df), "Join")
+
+
+def test_cells_of_any_grid():
+    eps = kernels.noise(200, 15, 1)
+    for grid in (np.array(barriers.GRID), np.array([0.3, 0.7, 1.1]), np.array([1.0])):
+        paths = kernels.ar_paths(0.8, eps)
+        got, side = kernels.cell_sums(paths, grid), len(grid)
+        for i in range(side):
+            for j in range(side):
+                first = lambda hit: np.where(hit.any(1), hit.argmax(1), 99)
+                up, low = first(paths >= grid[i]), first(paths <= -grid[j])
+                left = paths[(up == 99) & (low == 99), -1]
+                assert np.allclose(got[:, i, j], [(up < low).sum(), (low < up).sum(), left.sum(), (left * left).sum()])
+
+    assert kernels.best_barriers(np.full((5, 15), np.nan), np.array(barriers.GRID))[:2] == (0.5, 0.5)
