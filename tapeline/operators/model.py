@@ -40,6 +40,7 @@ def purged_folds(df: DataFrame, folds: int = 5) -> DataFrame:
     Folds are spans of whole days with about equally many rows over all symbols. Spans are a row a fold, so the anti-join is with a
     constant number of rows; nothing is ordered but the counts by day.
     """
+    df = written(df.select("symbol", "seq", "ts", "until"), "labelled-rows")  # read for the days, the spans, the tests and the trains
     days = df.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("k"))
     days = days.withColumn("one", F.lit(1)).withColumn("before", F.coalesce(F.sum("k").over(W.partitionBy("one").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a day
     n = F.sum("k").over(W.partitionBy("one"))
