@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import written
+from ..functions.windows import in_chunks
 from ..operators import barriers, features, prepare
 from ..operators.prepare import FEATURES
 
 
 def with_features(bars: DataFrame) -> DataFrame:
-    """Bars with the four microstructure features; null where a window isn't full."""
-    return features.sadf(features.kyles_lambda(features.amihud(features.vpin(bars)))).drop("buy", "sell", "imbalance")
+    """Bars with the four microstructure features; null where a window isn't full. Chunks of a symbol are windowed side by side."""
+    flow = in_chunks(bars, lambda part: features.kyles_lambda(features.amihud(features.vpin(part))).drop("buy", "sell", "imbalance"), features.CHUNK, before=50)
+    return features.sadf(flow.select(*bars.columns, "vpin", "amihud", "kyles_lambda"))
 
 
 def fractional_close(bars: DataFrame, fitted_on: DataFrame) -> DataFrame:
@@ -34,13 +36,13 @@ def build(bars: DataFrame, fit_on: str = "all") -> tuple[DataFrame, DataFrame]:
     rotation are fitted on the train side; the first rows of the test side are left out. Bars are written once and read by each step.
     """
     bars = written(bars, "bars")
-    rows = barriers.rolling_barriers(with_features(bars))
+    rows = written(barriers.rolling_barriers(written(with_features(bars), "features")), "bars-with-barriers")
     if fit_on == "train":
         cut = prepare.chrono_split(prepare.complete_rows(rows)).filter("split = 'train'").groupBy("symbol").agg(F.max("seq").alias("last"))
         fitted_on = bars.join(cut, "symbol").filter("seq <= last").drop("last")
     else:
         fitted_on = bars
-    rows = prepare.complete_rows(rows.join(fractional_close(bars, fitted_on), ["symbol", "seq"]))
+    rows = written(prepare.complete_rows(rows.join(fractional_close(bars, fitted_on), ["symbol", "seq"])), "complete")  # split and embargo read them seven times
     rows = written(prepare.embargo(prepare.chrono_split(rows)), "dataset")
     scaler = prepare.fit_scaler(rows)
     pca = prepare.fit_pca(prepare.feature_cov(prepare.apply_scaler(rows, scaler)))

@@ -436,7 +436,7 @@ def _trained(spark, sf_dir):
     """Labelled rows of the dataset, its matrices and a model of its train side; 10 trees of depth 3 for the operator's 100 and 5."""
     rows, matrices = dataset.build(tapes.event_bars(spark, sf_dir))
     train = labels.label_classes(labels.triple_barrier(rows.filter("split = 'train'")))
-    data = model.split_random(model.training_set(train, PCA))
+    data = written(model.split_random(model.training_set(train, PCA)), "training")  # fitted on, and read for the report
     return matrices, data, model.fit_classifier(data, PCA, trees=10, depth=3)
 
 

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tapeline.functions import kernels
-from tapeline.operators import backtest, barriers, bars
+from tapeline.operators import backtest, barriers, bars, features, model
+from tapeline.plans import dataset
 
 FEES = (0.0005, 3, 0.02, True)
 
@@ -113,3 +114,22 @@ def test_cells_of_any_grid():
                 assert np.allclose(got[:, i, j], [(up < low).sum(), (low < up).sum(), left.sum(), (left * left).sum()])
 
     assert kernels.best_barriers(np.full((5, 15), np.nan), np.array(barriers.GRID))[:2] == (0.5, 0.5)
+
+
+def test_the_dataset_runs_its_steps_once(spark):
+    rng = random.Random(6)
+    rows = [(s, k + 1, 100 + rng.gauss(0, 1), 1.0 + rng.random()) for s in "ab" for k in range(400)]
+    df = spark.createDataFrame(rows, "symbol string, seq bigint, close double, volume double").withColumn("ts", F.timestamp_seconds(F.col("seq") * 7000).cast("timestamp_ntz"))
+    df = df.withColumns({c: F.col("close") for c in ("open", "high", "low")})
+    featured = dataset.with_features(df)
+    plain = features.kyles_lambda(features.amihud(features.vpin(df)))
+    got, want = ({(r.symbol, r.seq): (r.vpin, r.amihud, r.kyles_lambda) for r in x.collect()} for x in (featured, plain))
+    assert got.keys() == want.keys() and all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-12) for k in want for a, b in zip(got[k], want[k], strict=True))
+    out, _ = dataset.build(df)
+    assert not any(nodes(out, x) for x in ("Window", "FlatMapGroups", "MapInPandas")) and out.count() > 0  # all in tables
+
+
+def test_folds_read_written_rows(spark):
+    df = spark.createDataFrame([("a", k + 1, k) for k in range(90)], "symbol string, seq bigint, t bigint").withColumn("ts", F.timestamp_seconds(F.col("t") * 40_000))
+    spans = model.label_spans(df.select("symbol", "seq", "ts"), 5)
+    assert nodes(spans, "Window") and nodes(model.purged_folds(spans, 3), "Window") == 0
