@@ -22,6 +22,10 @@ def reset_scan(dv: list[int], bar: list[int], divisor: int, cum: int, bar_id: in
     return ids, breach, cum, bar_id
 
 
+#: Rows whose windows or lags are laid out at once.
+SLICE = 1024
+
+
 def sadf(y: np.ndarray, min_len: int = 30, window: int = 100) -> np.ndarray:
     """Largest Dickey-Fuller t over the starts t-window .. t-min_len, for each row t >= window (NaN before).
 
@@ -31,8 +35,8 @@ def sadf(y: np.ndarray, min_len: int = 30, window: int = 100) -> np.ndarray:
     out = np.full(len(y), np.nan)
     if len(y) <= window:
         return out
-    for at in range(window, len(y), 8192):
-        part = np.lib.stride_tricks.sliding_window_view(y[at - window : at + 8192], window + 1)
+    for at in range(window, len(y), SLICE):
+        part = np.lib.stride_tricks.sliding_window_view(y[at - window : at + SLICE], window + 1)
         part = part - part[:, -1:]
         x, d = part[:, :-1], np.diff(part, axis=1)
         back = lambda v: np.cumsum(v[:, ::-1], axis=1)[:, ::-1][:, : window - min_len + 1]

@@ -1,6 +1,7 @@
 """Helpers against naive loops."""
 
 import math
+import tracemalloc
 
 import numpy as np
 
@@ -108,3 +109,19 @@ def test_adf_of_moments_equals_least_squares():
             t, lag = k.adf_of_moments(sum(parts), y[: lags + 1])
             want = k.adf(y)
             assert lag == want[1] and abs(t - want[0]) < 1e-6 * max(1, abs(t))
+
+
+def _peak_mb(run):
+    tracemalloc.start()
+    out = run()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_sadf_lays_out_slices():
+    y = 50 + np.cumsum(np.random.default_rng(2).normal(size=20_100))
+    got, peak = _peak_mb(lambda: k.sadf(y))
+    assert peak < 25
+    for at in (100, 1123, 1124, 1125, 20_099):  # around the first edge of a slice
+        assert got[at] == k.sadf(y[at - 100 : at + 1])[100]
