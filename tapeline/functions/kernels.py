@@ -112,6 +112,16 @@ def adf_design(y: np.ndarray, lags: int) -> np.ndarray:
     return np.column_stack([np.ones(len(past)), y[lags:-1], past[:, 1:], past[:, 0]])
 
 
+def adf_moments(y: np.ndarray, lags: int, own: np.ndarray) -> np.ndarray:
+    """X'X of those rows of ``adf_design`` whose next change belongs to a value that is ``own``, laid out ``SLICE`` rows at a time."""
+    m = np.zeros((lags + 3, lags + 3))
+    for at in range(0, len(y) - lags - 1, SLICE):
+        rows = adf_design(y[at : at + SLICE + lags + 1], lags)
+        rows = rows[own[at + lags + 1 : at + lags + 1 + len(rows)]]
+        m += rows.T @ rows
+    return m
+
+
 def adf_of_moments(m: np.ndarray, head: np.ndarray, lag: int | None = None) -> tuple[float, int]:
     """(t, lag) of the augmented Dickey-Fuller test from the moments X'X of ``adf_design`` with all lags (the common sample).
 

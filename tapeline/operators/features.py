@@ -112,10 +112,8 @@ def adf_test(df: DataFrame, d_grid: list[float], thres: float = 1e-4, lag: int |
                 continue
             lags = kernels.adf_lags(n) if lag is None else lag
             y = kernels.ffd(x, w)[len(w) - 1 :]  # values of rows at[len(w) - 1:]
-            rows = kernels.adf_design(y, lags) if len(y) else np.empty((0, lags + 3))
-            mine = rows[own[-len(rows) :]] if len(rows) else rows  # by the row of the next change
             head = y[: lags + 1] if at[0] == 0 else None
-            out.append((f["symbol"].iat[0], d, n, (mine.T @ mine).ravel(), head))
+            out.append((f["symbol"].iat[0], d, n, kernels.adf_moments(y, lags, own[len(w) - 1 :]).ravel(), head))  # own by the row of the next change
         return pd.DataFrame(out, columns=["symbol", "d", "n", "m", "head"])
 
     def solve(frames):

@@ -125,3 +125,12 @@ def test_sadf_lays_out_slices():
     assert peak < 25
     for at in (100, 1123, 1124, 1125, 20_099):  # around the first edge of a slice
         assert got[at] == k.sadf(y[at - 100 : at + 1])[100]
+
+
+def test_adf_moments_lay_out_slices():
+    y = 50 + np.cumsum(np.random.default_rng(2).normal(size=20_100))
+    own, lags = np.arange(len(y)) >= 150, 112
+    got, peak = _peak_mb(lambda: k.adf_moments(y, lags, own))
+    rows = k.adf_design(y, lags)[own[lags + 1 :]]
+    assert peak < 10 and np.allclose(got, rows.T @ rows, rtol=1e-9, atol=1e-6)
+    assert not k.adf_moments(y[:0], 2, own[:0]).any() and not k.adf_moments(y[:3], 2, own[-3:]).any()
