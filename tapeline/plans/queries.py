@@ -306,9 +306,9 @@ def sd(c: str) -> str:
 
 def feature_rows(spark, sf_dir):
     b = tapes.event_bars(spark, sf_dir)
-    out = features.df_tstat(features.kyles_lambda(features.amihud(features.vpin(b))))
+    out = in_chunks(b, lambda part: features.df_tstat(features.kyles_lambda(features.amihud(features.vpin(part)))), features.CHUNK, before=51)
     out = out.select("symbol", "seq", "ts", "close", "vpin", *((F.col(c) * 1e6).alias(c) for c in ("amihud", "kyles_lambda")), "df_tstat")
-    return prepare.chrono_split(prepare.complete_rows(out))
+    return prepare.chrono_split(written(prepare.complete_rows(out), "feature-rows"))  # read by the cut, the scaler and what follows
 
 
 FEATURE_ROWS = f"""{EVENT_BARS}, {IMB}, {DF},

@@ -92,6 +92,13 @@ def test_event_bars_are_scanned_once_a_query(spark):
     assert nodes(got, "MapInArrow") == 0 and got.count() > 0
 
 
+def test_feature_rows_are_a_table(spark):
+    from tapeline.plans import queries
+
+    got = queries.feature_rows(spark, "/root/testdata/sf0.001")
+    assert nodes(got, "Window") <= 1 and got.count() > 0  # the cut's row number; no feature is computed again by what reads the rows
+
+
 def test_phis_are_simulated_once(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([("a", k + 1, 100 + rng.gauss(0, 1)) for k in range(300)], "symbol string, seq bigint, close double")
