@@ -123,15 +123,18 @@ def maybe_listed(rows: DataFrame, key: str, listed: DataFrame, listed_key: str)
     return rows.filter(hit(key))
 
 
-#: Rows of a batch between the JVM and Python where whole texts go.
+#: Rows and bytes of a batch between the JVM and Python where whole texts go.
 TEXT_ROWS, BATCH_ROWS = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_BYTES, BATCH_BYTES, DEFAULT_BYTES = "1m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Where the session has Spark's default of 10,000 rows an Arrow batch, set ``TEXT_ROWS`` from now on: 10,000 whole texts fill some
-    30 MB several times over, on both sides of every task. Another number that the session has set stands. No result depends on it."""
+    """Where the session has Spark's defaults, end an Arrow batch after ``TEXT_ROWS`` rows or ``TEXT_BYTES`` from now on: 10,000 whole texts fill some
+    30 MB several times over, on both sides of every task, and longer ones more. Other values that the session has set stand. No result depends on it."""
     if spark.conf.get(BATCH_ROWS) == "10000":
         spark.conf.set(BATCH_ROWS, TEXT_ROWS)
+    if spark.conf.get(BATCH_BYTES) == DEFAULT_BYTES:
+        spark.conf.set(BATCH_BYTES, TEXT_BYTES)
 
 
 def texts_of(df: DataFrame, id_col: str, text_col: str, ends: DataFrame) -> DataFrame:

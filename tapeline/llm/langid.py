@@ -17,7 +17,7 @@ PROFILE, LONGEST = 300, 3
 #: Sharpness of the score: how fast a language's weight falls with its distance.
 SHARPNESS = 40.0
 #: Symbols for what isn't a letter; characters of texts that are counted at once; distances that are held at once.
-EDGE, CHARS, CELLS = 1, 400_000, 4_000_000
+EDGE, CHARS, CELLS = 1, 100_000, 1_000_000
 UND = "und"
 #: A document is rejected when no language's profile is nearer than this share of the largest distance.
 FAR = 0.97
@@ -47,10 +47,10 @@ def gram_counts(texts: list[str], owners: np.ndarray) -> tuple[np.ndarray, np.nd
     keep = np.ones(len(sym), bool)
     keep[1:] = (sym[1:] != EDGE) | (sym[:-1] != EDGE) | (owner[1:] != owner[:-1])
     sym, owner = sym[keep], owner[keep]
-    seen = np.zeros(0x110000, bool)
+    seen = np.zeros(max(EDGE, int(sym.max(initial=0))) + 1, bool)
     seen[sym] = seen[EDGE] = True
     alphabet = np.flatnonzero(seen)
-    dense = np.zeros(0x110000, np.int64)
+    dense = np.zeros(len(seen), np.int64)
     dense[alphabet] = np.arange(1, len(alphabet) + 1)  # EDGE is the smallest: 1
     x = np.concatenate([[1], dense[sym]])  # an edge before the first text
     owner = np.concatenate([owner[:1], owner])
@@ -65,7 +65,7 @@ def gram_counts(texts: list[str], owners: np.ndarray) -> tuple[np.ndarray, np.nd
     three = (own[2:] + (before2 << 2 * bits) + (x[1:-1] << bits) + x[2:])[letter[1:-1] & same[1:]]
     keys = np.concatenate([one, two, three])
     top = (int(owners.max(initial=0)) + 1) << 3 * bits
-    if top <= 1 << 22:
+    if top <= 2 * len(keys):
         n = np.bincount(keys, minlength=0)
         found = np.flatnonzero(n)
         n = n[found]
